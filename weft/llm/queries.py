@@ -1,9 +1,10 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from weft.llm import decontaminate, mixing
+from weft.llm import decontaminate, mixing, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op9_mix": mixing.op9_mix,
 }
 SQL = {"op9_mix": mixing.OP9_SQL}
