@@ -1,10 +1,13 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from weft.llm import decontaminate, mixing, toxicity
+from weft.llm import chat, decontaminate, mixing, substrings, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_topk": topk.op3_topk,
+    "op5_repeats": substrings.op5_repeats,
+    "op8_chat": chat.op8_chat,
     "op9_mix": mixing.op9_mix,
 }
-SQL = {"op9_mix": mixing.OP9_SQL}
+SQL = {"op3_topk": topk.OP3_SQL, "op8_chat": chat.OP8_SQL, "op9_mix": mixing.OP9_SQL}
