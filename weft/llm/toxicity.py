@@ -18,7 +18,7 @@ the share of toxic labels (0 without labels).
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,23 +52,18 @@ class Model:
         self.words, self.stems = words, stems
         self.rate, self.scale = 1.0, 1.0  # lambda and K
         self.mean, self.spread, self.weights = np.zeros(3), np.ones(3), np.array([-30.0, 0, 0, 0])
-        self.known: dict[bytes, float] = {}
 
     def value(self, word: bytes) -> float:
         found = self.words.get(word)
-        if found is None:
-            found = self.stems.get(prefix(word), -DRIFT)
-        if len(self.known) > 500_000:
-            self.known.clear()
-        self.known[word] = found
-        return found
-
-    def values(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-        except KeyError:
-            return np.fromiter((known[w] if w in known else self.value(w) for w in words), np.float64, len(words))
+        return self.stems.get(prefix(word), -DRIFT) if found is None else found
+
+    def values(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The value of each word of each text; each distinct word is looked up once."""
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        ids = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+        own = np.fromiter(map(self.value, number), np.float64, len(number))
+        return [own[k] for k in ids]
 
     def e_value(self, score: float, n: int) -> float:
         return self.scale * max(n, 1) * math.exp(-self.rate * score)
@@ -179,8 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, kind in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                values = sent.value.values(words_of(text))
+            for values, kind in zip(sent.value.values(as_bytes(batch.column(0))), batch.column(1).to_pylist(), strict=True):
                 hits = np.round(values[values > 0], 1)
                 out.append((kind, len(values), [s for *_, s in segments(values)], hits.tolist()))
             kinds, n, scores, hits = zip(*out, strict=True) if out else ((), (), (), ())
@@ -210,17 +204,15 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE)
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, best (-ln E of the best segment), passages (word ranges of significant segments) of every row."""
     prepare(documents.sparkSession)
-    model.known = {}
     sent = documents.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = m.values(as_bytes(batch.column(1)))
             features, passages = np.zeros((len(texts), 3)), []
-            for i, text in enumerate(texts):
-                values = m.values(words_of(text))
+            for i, values in enumerate(texts):
                 found = segments(values)
                 features[i] = m.features(found, len(values))
                 passages.append([{"start": a, "end": b, "score": s, "e_value": e} for a, b, s in found if (e := m.e_value(s, len(values))) < ALPHA])
