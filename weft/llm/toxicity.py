@@ -221,6 +221,21 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCORED)
 
 
+def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    prepare(documents.sparkSession)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            features = np.array([m.features(segments(v), len(v)) for v in m.values(as_bytes(batch.column(at)))]).reshape(-1, 3)
+            yield batch.filter(pa.array(m.probability(features) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def is_held_out():
     """Rows that nothing is learned from: crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
