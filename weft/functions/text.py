@@ -42,13 +42,13 @@ def first_prefix(c: Column, patterns: list[str]) -> Column:
 def without_prefix(c: Column, patterns: list[str]) -> Column:
     """What stands between the prefix and its next occurrence: the first prefix that matches cuts the whole word."""
     p = first_prefix(c, patterns)
-    return F.when(p.isNull() | (p == ""), c).otherwise(F.substring_index(F.substring(c, F.length(p) + 1, F.length(c)), p, 1))
+    return F.when(p.isNull() | (p == ""), c).otherwise(F.element_at(F.split(F.substring(c, F.length(p) + F.lit(1), F.length(c)), F.concat(F.lit('\\Q'), p, F.lit('\\E')), -1), 1))
 
 
 def after_prefix(c: Column, patterns: list[str]) -> Column:
     """What follows the prefix."""
     p = first_prefix(c, patterns)
-    return F.when(p.isNull(), c).otherwise(F.substring(c, F.length(p) + 1, F.length(c)))
+    return F.when(p.isNull(), c).otherwise(F.substring(c, F.length(p) + F.lit(1), F.length(c)))
 
 
 def sigmoid(c: Column) -> Column:

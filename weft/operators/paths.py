@@ -50,6 +50,8 @@ def features(nodes: DataFrame, compatible: DataFrame, codes: list[str], compat_m
     right = rows.select("sent_id", F.col("node_id").alias("ri"), *(F.col(c).alias(f"r{k}") for k, c in KINDS.items()))
     triples = pairs.join(beside, ["sent_id", "ri"]).where("m <> li").join(left, ["sent_id", "li"]).join(right, ["sent_id", "ri"])
     p = transitions(evidence(nodes))
+    if p.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        p = p.checkpoint()  # read once for every kind of step
     hops = sorted({(f"l{c[0]}", f"m{c[1]}") for c in codes} | {(f"m{c[1]}", f"r{c[2]}") for c in codes})
     for a, b in hops:
         own = p.where((F.col("k1") == a[1]) & (F.col("k2") == b[1])).select(F.col("x").alias(a), F.col("y").alias(b), F.col("p").alias(f"{a}_{b}"))

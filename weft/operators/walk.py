@@ -157,6 +157,8 @@ def predict(nodes: DataFrame, conflict: DataFrame, query: DataFrame, edges: list
     for k, e in enumerate(edges):
         rows = rows.join(e.groupBy("sent_id").agg(F.collect_list(F.struct("src", "dst", "p")).alias(f"e{k}")), "sent_id", "left")
 
+    n_edges = len(edges)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -165,7 +167,7 @@ def predict(nodes: DataFrame, conflict: DataFrame, query: DataFrame, edges: list
                 if n < 2:
                     continue
                 matrices = []
-                for k in range(len(edges)):
+                for k in range(n_edges):
                     m = np.zeros((n, n))
                     for e in r[f"e{k}"] or ():
                         m[e["src"], e["dst"]] = e["p"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import morph, text
 from weft.operators import lattice, learn, metrics, paths, quality, stats, walk
 from weft.plans import surrogate as s
+from weft.plans.session import checkpointed
 from weft.sources import readers
 
 QUERIES: dict = {}
@@ -19,20 +20,20 @@ cand AS (SELECT l_orderkey AS sent_id, CAST(l_suppkey % 3 AS INTEGER) AS chunk_i
   l_returnflag || l_linestatus AS cng, p_name AS surface, l_extendedprice AS price, l_quantity AS quantity, l_partkey AS part
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 grouped AS (SELECT sent_id, chunk_id, pos, lemma, cng, min(surface) AS surface FROM cand GROUP BY ALL),
-nodes AS (SELECT sent_id, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY chunk_id, pos, lemma, cng) - 1 AS INTEGER) AS node_id, chunk_id, pos,
+nodes AS MATERIALIZED (SELECT sent_id, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY chunk_id, pos, lemma, cng) - 1 AS INTEGER) AS node_id, chunk_id, pos,
   CAST(dense_rank() OVER (PARTITION BY sent_id ORDER BY chunk_id, pos) - 1 AS INTEGER) AS set_id, surface, lemma, cng, cng = 'RF' AS is_verb FROM grouped),
 near AS (SELECT a.sent_id, a.node_id AS n1, b.node_id AS n2, a.pos AS p1, b.pos AS p2, a.surface AS s1, b.surface AS s2, greatest(a.pos + length(a.surface) - b.pos, 0) AS o
   FROM nodes a JOIN nodes b ON a.sent_id = b.sent_id AND a.chunk_id = b.chunk_id AND a.node_id < b.node_id),
 judged AS (SELECT sent_id, n1, n2, CAST(o AS INTEGER) AS o, p1 < p2 AND (o = 0 OR (o IN (1, 2) AND (coalesce(x.length < o + 1, false) OR coalesce(y.length < o + 1, false)))) AS together
   FROM near LEFT JOIN rules x ON x.l = right(s1, CAST(greatest(o, 1) AS INTEGER)) AND x.r = left(s2, 1) LEFT JOIN rules y ON y.l = right(s1, 1) AND y.r = left(s2, CAST(greatest(o, 1) AS INTEGER))),
-conflict AS (SELECT sent_id, n1, n2 FROM judged WHERE NOT together UNION ALL SELECT sent_id, n2, n1 FROM judged WHERE NOT together),
+conflict AS MATERIALIZED (SELECT sent_id, n1, n2 FROM judged WHERE NOT together UNION ALL SELECT sent_id, n2, n1 FROM judged WHERE NOT together),
 certain AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM conflict c WHERE c.sent_id = n.sent_id AND c.n1 = n.node_id)),
 forced AS (SELECT sent_id, node_id, surface, against FROM (
   SELECT n.*, c.against, row_number() OVER (PARTITION BY n.sent_id ORDER BY length(surface) DESC, against DESC, node_id) AS place
   FROM nodes n JOIN (SELECT sent_id, n1, count(*) AS against FROM conflict GROUP BY ALL) c ON c.sent_id = n.sent_id AND c.n1 = n.node_id
   WHERE n.sent_id NOT IN (SELECT sent_id FROM certain)) WHERE place = 1),
-query AS (SELECT sent_id, node_id FROM certain UNION ALL SELECT sent_id, node_id FROM forced),
-compat AS (SELECT a.sent_id, a.node_id AS n1, b.node_id AS n2 FROM nodes a JOIN nodes b ON a.sent_id = b.sent_id AND a.node_id <> b.node_id
+query AS MATERIALIZED (SELECT sent_id, node_id FROM certain UNION ALL SELECT sent_id, node_id FROM forced),
+compat AS MATERIALIZED (SELECT a.sent_id, a.node_id AS n1, b.node_id AS n2 FROM nodes a JOIN nodes b ON a.sent_id = b.sent_id AND a.node_id <> b.node_id
   WHERE NOT EXISTS (SELECT 1 FROM conflict c WHERE c.sent_id = a.sent_id AND c.n1 = a.node_id AND c.n2 = b.node_id)),
 cooc AS (SELECT a.lemma AS a, b.lemma AS b, count(*) AS n FROM nodes a JOIN nodes b ON a.sent_id = b.sent_id AND a.node_id <> b.node_id GROUP BY ALL),
 samecooc AS (SELECT a.lemma AS a, b.lemma AS b, count(*) AS n FROM nodes a JOIN nodes b ON a.sent_id = b.sent_id AND a.node_id <> b.node_id AND a.cng = b.cng GROUP BY ALL),
@@ -57,8 +58,8 @@ def kn_sql(name: str, counts: str, halve: bool = False, unseen: str = "", pairs:
 
 
 OPEN = "(SELECT a.sent_id, a.node_id AS src, b.node_id AS dst, a.{k} AS a, b.{k} AS b FROM nodes a JOIN nodes b ON a.sent_id = b.sent_id AND a.set_id <> b.set_id WHERE NOT EXISTS (SELECT 1 FROM conflict c WHERE c.sent_id = a.sent_id AND c.n1 = a.node_id AND c.n2 = b.node_id))"
-EDGES = kn_sql("open_edges", "cooc", pairs=OPEN.format(k="lemma")) + "edges AS (SELECT sent_id, src, dst, p / sum(p) OVER (PARTITION BY sent_id, src) AS p FROM open_edges),\n"
-EDGES_CNG = kn_sql("open_cng", "cngcooc", unseen="1.0::DOUBLE / 440000", pairs=OPEN.format(k="cng")) + "edges_cng AS (SELECT sent_id, src, dst, p / sum(p) OVER (PARTITION BY sent_id, src) AS p FROM open_cng),\n"
+EDGES = kn_sql("open_edges", "cooc", pairs=OPEN.format(k="lemma")) + "edges AS MATERIALIZED (SELECT sent_id, src, dst, p / sum(p) OVER (PARTITION BY sent_id, src) AS p FROM open_edges),\n"
+EDGES_CNG = kn_sql("open_cng", "cngcooc", unseen="1.0::DOUBLE / 440000", pairs=OPEN.format(k="cng")) + "edges_cng AS MATERIALIZED (SELECT sent_id, src, dst, p / sum(p) OVER (PARTITION BY sent_id, src) AS p FROM open_cng),\n"
 RAW = f"""raw0 AS (SELECT q.sent_id, src, dst, coalesce(n, 0)::DOUBLE AS p FROM {OPEN.format(k="lemma")} q LEFT JOIN cooc c ON c.a = q.a AND c.b = q.b),
 raw1 AS (SELECT *, sum(p) OVER (PARTITION BY sent_id, src) AS total FROM raw0),
 raw AS (SELECT sent_id, src, dst, p / total AS p FROM raw1 WHERE total > 0 UNION ALL
@@ -73,12 +74,12 @@ def rwr_sql(edges: str = "edges", name: str = "x") -> str:
     out = f"{name}r AS (SELECT n.sent_id, n.node_id, CASE WHEN q.node_id IS NULL THEN 0 ELSE 1.0::DOUBLE / k.n END AS r FROM nodes n LEFT JOIN (SELECT DISTINCT * FROM query) q ON q.sent_id = n.sent_id AND q.node_id = n.node_id JOIN (SELECT sent_id, count(DISTINCT node_id) AS n FROM query GROUP BY sent_id) k ON k.sent_id = n.sent_id),\n{name}0 AS (SELECT sent_id, node_id, r AS x FROM {name}r),\n"
     for k in range(1, STEPS + 1):
         out += f"{name}{k} AS MATERIALIZED (SELECT r.sent_id, r.node_id, 0.6::DOUBLE * coalesce(m.m, 0) + 0.4::DOUBLE * r.r AS x FROM {name}r r LEFT JOIN (SELECT e.sent_id, e.dst, sum(v.x * e.p) AS m FROM {edges} e JOIN {name}{k - 1} v ON v.sent_id = e.sent_id AND v.node_id = e.src GROUP BY ALL) m ON m.sent_id = r.sent_id AND m.dst = r.node_id),\n"
-    return out + f"{name}s AS (SELECT sent_id, node_id, x AS score FROM {name}{STEPS}),\n"
+    return out + f"{name}s AS MATERIALIZED (SELECT sent_id, node_id, x AS score FROM {name}{STEPS}),\n"
 
 
 WALK = EDGES + rwr_sql()
-WINNER = "winner AS (SELECT s.sent_id, arg_max(node_id, (round(score, 9), node_id)) AS node_id FROM xs s WHERE NOT EXISTS (SELECT 1 FROM query q WHERE q.sent_id = s.sent_id AND q.node_id = s.node_id) GROUP BY s.sent_id),\n"
-GONE = "gone AS (SELECT DISTINCT c.sent_id, c.n2 AS node_id FROM conflict c JOIN winner w ON w.sent_id = c.sent_id AND w.node_id = c.n1 WHERE NOT EXISTS (SELECT 1 FROM query q WHERE q.sent_id = c.sent_id AND q.node_id = c.n2)),\n"
+WINNER = "winner AS MATERIALIZED (SELECT s.sent_id, arg_max(node_id, (round(score, 9), node_id)) AS node_id FROM xs s WHERE NOT EXISTS (SELECT 1 FROM query q WHERE q.sent_id = s.sent_id AND q.node_id = s.node_id) GROUP BY s.sent_id),\n"
+GONE = "gone AS MATERIALIZED (SELECT DISTINCT c.sent_id, c.n2 AS node_id FROM conflict c JOIN winner w ON w.sent_id = c.sent_id AND w.node_id = c.n1 WHERE NOT EXISTS (SELECT 1 FROM query q WHERE q.sent_id = c.sent_id AND q.node_id = c.n2)),\n"
 
 
 def query(name: str, sql: str | None = None, base: str = ""):
@@ -102,6 +103,19 @@ def of(spark, sf):
     return nodes, lattice.conflicts(nodes, s.rules(spark))
 
 
+def cut(spark, *frames):
+    """Frames that several steps read, computed once."""
+    checkpointed(spark)
+    return tuple(f.checkpoint() for f in frames)
+
+
+def base(spark, sf):
+    """nodes, conflict and query, computed once."""
+    (nodes,) = cut(spark, s.nodes(spark, sf))
+    (conflict,) = cut(spark, lattice.conflicts(nodes, s.rules(spark)))
+    return nodes, conflict, *cut(spark, lattice.queries(nodes, conflict))
+
+
 # ---- candidates and their relations
 
 
@@ -278,8 +292,8 @@ def v2c_rank(spark, sf):
 
 
 def walked(spark, sf):
-    nodes, conflict, edges = edges_of(spark, sf)
-    q = lattice.queries(nodes, conflict)
+    nodes, conflict, q = base(spark, sf)
+    (edges,) = cut(spark, stats.edges_smoothed(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict))
     return nodes, conflict, q, walk.walk_steps(nodes, edges, q, STEPS)
 
 
@@ -310,33 +324,32 @@ def deactivate_round(spark, sf):
 """)
 def expand_query(spark, sf):
     nodes, conflict, q, scores = walked(spark, sf)
-    won = walk.winners(scores, q)
+    (won,) = cut(spark, walk.winners(scores, q))
     return lattice.promoted(nodes, conflict, won, q, lattice.deactivated(conflict, won, q))
 
 
 @query("blend_rank", answer("SELECT sent_id, node_id, round(0.5::DOUBLE * a / ta + 0.5::DOUBLE * b / tb, 8) AS score FROM (SELECT x.sent_id, x.node_id, x.score AS a, y.score AS b, sum(x.score) OVER (PARTITION BY x.sent_id) AS ta, sum(y.score) OVER (PARTITION BY x.sent_id) AS tb FROM xs x JOIN ys y ON x.sent_id = y.sent_id AND x.node_id = y.node_id)"), WALK + EDGES_CNG + rwr_sql("edges_cng", "y"))
 def blend_rank(spark, sf):
-    nodes, conflict = of(spark, sf)
-    q = lattice.queries(nodes, conflict)
+    nodes, conflict, q = base(spark, sf)
     one = stats.edges_smoothed(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict)
     two = stats.edges_smoothed(nodes, "cng", stats.cooccurrences(nodes, "cng"), conflict, unseen=1 / 440000)
-    return rounded(walk.blended([walk.walk_steps(nodes, e, q, STEPS) for e in (one, two)], [0.5, 0.5]), "score", digits=8)
+    return rounded(walk.blended([walk.walk_steps(nodes, e, q, STEPS) for e in cut(spark, one, two)], [0.5, 0.5]), "score", digits=8)
 
 
-@query("shortest_paths", answer("SELECT sent_id, src, dst, round(min(d), 5) AS d FROM d2 GROUP BY ALL"), EDGES + """d0 AS (SELECT sent_id, src, dst, 1.0::DOUBLE / p AS d FROM edges),
+@query("shortest_paths", answer("SELECT sent_id, src, dst, round(ln(min(d)), 6) AS log_d FROM d2 GROUP BY ALL"), EDGES + """d0 AS (SELECT sent_id, src, dst, 1.0::DOUBLE / p AS d FROM edges),
 d1 AS (SELECT sent_id, src, dst, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT a.sent_id, a.src, b.dst, a.d + b.d FROM d0 a JOIN d0 b ON a.sent_id = b.sent_id AND a.dst = b.src AND a.src <> b.dst) GROUP BY ALL),
 d2 AS (SELECT sent_id, src, dst, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT a.sent_id, a.src, b.dst, a.d + b.d FROM d1 a JOIN d1 b ON a.sent_id = b.sent_id AND a.dst = b.src AND a.src <> b.dst) GROUP BY ALL),
 """)
 def shortest_paths(spark, sf):
-    return rounded(walk.closure(edges_of(spark, sf)[2], 2), "d", digits=5)
+    return walk.closure(*cut(spark, edges_of(spark, sf)[2]), 2).select("sent_id", "src", "dst", F.round(F.log("d"), 6).alias("log_d"))
 
 
 @query("greedy_predict")
 def greedy_predict(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict, q = base(spark, sf)
     counts, same, cng = stats.cooccurrences(nodes, "lemma"), stats.cooccurrences(nodes, "lemma", same="cng"), stats.cooccurrences(nodes, "cng")
     edges = [stats.edges_smoothed(nodes, "lemma", counts, conflict), stats.edges_smoothed(nodes, "cng", cng, conflict, unseen=1 / 440000), stats.edges_smoothed(nodes, "lemma", same, conflict, halve=True)]
-    return walk.predict(nodes, conflict, lattice.queries(nodes, conflict), edges, [1 / 3] * 3)
+    return walk.predict(nodes, conflict, q, edges, [1 / 3] * 3)
 
 
 @query("greedy_accuracy")
@@ -609,7 +622,7 @@ def describe(spark, sf):
 # ---- path model
 
 
-HOPS = "ev AS (SELECT DISTINCT kind, key, sent_id FROM (SELECT '1' AS kind, lemma AS key, sent_id FROM nodes UNION ALL SELECT '2', cng, sent_id FROM nodes UNION ALL SELECT '3', lemma || '_' || cng, sent_id FROM nodes)),\nhop AS (SELECT x.kind AS k1, x.key AS x, y.kind AS k2, y.key AS y, count(*)::DOUBLE / any_value(c.n) AS p FROM ev x JOIN ev y ON x.sent_id = y.sent_id JOIN (SELECT kind, key, count(*) AS n FROM ev GROUP BY ALL) c ON c.kind = x.kind AND c.key = x.key GROUP BY x.kind, x.key, y.kind, y.key),\n"
+HOPS = "ev AS (SELECT DISTINCT kind, key, sent_id FROM (SELECT '1' AS kind, lemma AS key, sent_id FROM nodes UNION ALL SELECT '2', cng, sent_id FROM nodes UNION ALL SELECT '3', lemma || '_' || cng, sent_id FROM nodes)),\nhop AS MATERIALIZED (SELECT x.kind AS k1, x.key AS x, y.kind AS k2, y.key AS y, count(*)::DOUBLE / any_value(c.n) AS p FROM ev x JOIN ev y ON x.sent_id = y.sent_id JOIN (SELECT kind, key, count(*) AS n FROM ev GROUP BY ALL) c ON c.kind = x.kind AND c.key = x.key GROUP BY x.kind, x.key, y.kind, y.key),\n"
 CODES = ["111", "122", "212"]
 
 
@@ -621,7 +634,7 @@ def feature_sql(codes: list[str]) -> str:
         joins += f" LEFT JOIN hop h{i} ON h{i}.k1 = '{c[0]}' AND h{i}.x = {a} AND h{i}.k2 = '{c[1]}' AND h{i}.y = {b} LEFT JOIN hop g{i} ON g{i}.k1 = '{c[1]}' AND g{i}.x = {b} AND g{i}.k2 = '{c[2]}' AND g{i}.y = {d}"
         values.append(f"sum(coalesce(h{i}.p, 0) * coalesce(g{i}.p, 0)) AS f{c}")
     sums = f"SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, {', '.join(values)} FROM compat p JOIN compat q ON q.sent_id = p.sent_id AND q.n1 = p.n2 AND q.n2 <> p.n1 JOIN nodes m ON m.sent_id = p.sent_id AND m.node_id = q.n2 AND m.is_verb JOIN nodes l ON l.sent_id = p.sent_id AND l.node_id = p.n1 JOIN nodes r ON r.sent_id = p.sent_id AND r.node_id = p.n2{joins} WHERE p.n1 < p.n2 GROUP BY ALL"
-    return f"sums AS ({sums}),\nfeature AS (SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, {', '.join(f'coalesce(s.f{c}, 0) AS f{c}' for c in codes)} FROM compat p LEFT JOIN sums s ON s.sent_id = p.sent_id AND s.li = p.n1 AND s.ri = p.n2 WHERE p.n1 < p.n2),\n"
+    return f"sums AS ({sums}),\nfeature AS MATERIALIZED (SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, {', '.join(f'coalesce(s.f{c}, 0) AS f{c}' for c in codes)} FROM compat p LEFT JOIN sums s ON s.sent_id = p.sent_id AND s.li = p.n1 AND s.ri = p.n2 WHERE p.n1 < p.n2),\n"
 
 
 FEATURE = HOPS + feature_sql(CODES)
@@ -639,13 +652,13 @@ def path_steps(spark, sf):
 
 @query("path_features", answer("SELECT sent_id, li, ri, " + ", ".join(f"round(f{c}, 8) AS f{c}" for c in CODES) + " FROM feature"), FEATURE)
 def path_features(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict, q = base(spark, sf)
     return rounded(paths.features(nodes, lattice.compatible(nodes, conflict), CODES), *(f"f{c}" for c in CODES), digits=8)
 
 
 @query("path_features_all")
 def path_features_all(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict, q = base(spark, sf)
     return paths.features(nodes, lattice.compatible(nodes, conflict), paths.PATHS)
 
 
@@ -654,14 +667,14 @@ WEIGHTS = {"f111": 0.5, "f122": 0.3, "f212": 0.2}
 
 @query("pcrw_rank", answer("SELECT n.sent_id, n.node_id, round(coalesce(sum(0.5::DOUBLE * f111 + 0.3::DOUBLE * f122 + 0.2::DOUBLE * f212), 0), 7) AS score FROM nodes n LEFT JOIN (SELECT f.* FROM feature f JOIN query q ON q.sent_id = f.sent_id AND q.node_id = f.li) f ON f.sent_id = n.sent_id AND f.ri = n.node_id WHERE NOT EXISTS (SELECT 1 FROM query q WHERE q.sent_id = n.sent_id AND q.node_id = n.node_id) GROUP BY n.sent_id, n.node_id"), FEATURE)
 def pcrw_rank(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict, q = base(spark, sf)
     feature = paths.features(nodes, lattice.compatible(nodes, conflict), CODES)
-    return rounded(paths.path_ranking(nodes, lattice.queries(nodes, conflict), feature, WEIGHTS), "score", digits=7)
+    return rounded(paths.path_ranking(nodes, q, feature, WEIGHTS), "score", digits=7)
 
 
 @query("constant_columns", answer(" UNION ALL ".join(f"SELECT 'f{c}' AS \"column\", round(min(f{c}), 8) AS low, round(max(f{c}), 8) AS high, NOT (min(f{c}) = 0 AND max(f{c}) = 0) AS live FROM feature" for c in CODES)), FEATURE)
 def constant_columns(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict, q = base(spark, sf)
     feature = paths.features(nodes, lattice.compatible(nodes, conflict), CODES)
     return rounded(paths.live_columns(feature, [f"f{c}" for c in CODES]), "low", "high", digits=8)
 
@@ -699,8 +712,6 @@ def balanced_sample(spark, sf):
 
 @query("kfold", answer("SELECT sent_id, node_id, CAST(ntile(4) OVER (ORDER BY sent_id, node_id) - 1 AS INTEGER) AS fold FROM nodes"))
 def kfold(spark, sf):
-    from weft.plans.session import checkpointed
-
     checkpointed(spark)
     return learn.folds(s.nodes(spark, sf).select("sent_id", "node_id"), 4, ["sent_id", "node_id"])
 
@@ -719,10 +730,7 @@ def cosine_pairs(spark, sf):
 
 @query("logreg_weights")
 def logreg_weights(spark, sf):
-    from weft.plans.session import checkpointed
-
-    checkpointed(spark)
-    nodes, conflict = of(spark, sf)
+    nodes, conflict, q = base(spark, sf)
     feature = paths.features(nodes, lattice.compatible(nodes, conflict), CODES)
     flags = flagged(spark, sf)
     rows = feature.join(flags.select("sent_id", F.col("node_id").alias("li"), F.col("flag").alias("f1")), ["sent_id", "li"]).join(flags.select("sent_id", F.col("node_id").alias("ri"), F.col("flag").alias("f2")), ["sent_id", "ri"]).withColumn("flag", F.col("f1") * F.col("f2"))
