@@ -7,7 +7,7 @@ import pytest
 from weft.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-WITHOUT_SQL = ["greedy_predict", "greedy_accuracy", "path_features_all", "logreg_weights", "word2vec"]
+WITHOUT_SQL = ["greedy_predict", "greedy_accuracy", "path_features_all", "logreg_weights", "word2vec", "validate_elimination", "fill_missing", "training_rows", "learned_shares", "selection_export"]
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,25 @@ def test_greedy_choice_is_compatible_and_complete(spark, sf):
     left = nodes.join(many, "sent_id").join(chosen, ["sent_id", "node_id"], "left_anti").select("sent_id", nodes.node_id.alias("n2"))
     excluded = conflict.join(chosen.select("sent_id", chosen.node_id.alias("n1")), ["sent_id", "n1"], "left_semi").select("sent_id", "n2")
     assert left.join(excluded, ["sent_id", "n2"], "left_anti").isEmpty()
+
+
+def test_elimination_and_filling(spark):
+    from weft.operators import audits
+
+    nodes = spark.createDataFrame([(1, 0, 0, 0, 0, "abc", "x", "n"), (1, 1, 1, 0, 2, "cd", "y", "n"), (1, 2, 2, 0, 9, "q", "z", "n"), (1, 3, 3, 1, 0, "w", "v", "n")], "sent_id long, node_id int, set_id int, chunk_id int, pos int, surface string, lemma string, cng string")
+    gold = spark.createDataFrame([(1, 0, "x", "other")], "sent_id long, chunk_id int, lemma string, cng string")
+    assert audits.eliminated(nodes, gold, []).first().live == 2
+    assert audits.eliminated(nodes, gold, [("c", "c", 1)]).first().live == 3
+    senses = spark.createDataFrame([(1, 0, 0, ["a", "b"], ["7"]), (1, 0, 1, ["c"], []), (1, 0, 2, ["a"], [])], "sent_id long, chunk_id int, ord int, lemmas array<string>, forms array<string>")
+    known = spark.createDataFrame([(1, 0, ["a", "b", "a"], ["1", "2", "3"])], "sent_id long, chunk_id int, lemmas array<string>, forms array<string>")
+    got = {r.ord: r.forms for r in audits.filled(senses, known).collect()}
+    assert got == {0: ["7", "2"], 1: [], 2: ["3"]}
+
+
+def test_shares_are_learned_in_order(spark):
+    from weft.operators import audits
+
+    rows = [(1, 1, 0.9, 0.1), (1, 0, 0.1, 0.9), (2, 1, 0.2, 0.8), (2, 0, 0.8, 0.2), (3, 0, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "sent_id long, flag int, a double, b double")
+    got = [r.shares for r in audits.learned_shares(df, "flag", ["a", "b"], 0.1).orderBy("sent_id").collect()]
+    assert got[0] == pytest.approx([0.58, 0.42]) and got[1] == pytest.approx([0.52, 0.48]) and got[2] == pytest.approx(got[1])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import morph, text
-from weft.operators import lattice, learn, metrics, paths, quality, stats, walk
+from weft.operators import audits, lattice, learn, metrics, paths, quality, stats, walk
 from weft.plans import surrogate as s
 from weft.plans.session import checkpointed
 from weft.sources import readers
@@ -741,3 +741,48 @@ def logreg_weights(spark, sf):
 def word2vec(spark, sf):
     sentences = s.gold(spark, sf).groupBy("sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "lemma"))), lambda x: x["lemma"]).alias("words"))
     return learn.embeddings(sentences, "words", size=20)
+
+
+# ---- audits and learning that go in order
+
+
+@query("validate_elimination")
+def validate_elimination(spark, sf):
+    return audits.eliminated(s.nodes(spark, sf), s.gold(spark, sf), s.RULES)
+
+
+@query("fill_missing")
+def fill_missing(spark, sf):
+    sets = s.nodes(spark, sf).groupBy("sent_id", "chunk_id", "pos").agg(F.sort_array(F.collect_list(F.struct("lemma", "cng"))).alias("all"))
+    senses = sets.select("sent_id", "chunk_id", F.col("pos").alias("ord"), F.transform("all", lambda x: x["lemma"]).alias("lemmas"), F.array().cast("array<string>").alias("forms"))
+    gold = s.gold(spark, sf).groupBy("sent_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("lemma", "cng"))).alias("all"))
+    return audits.filled(senses, gold.select("sent_id", "chunk_id", F.transform("all", lambda x: x["lemma"]).alias("lemmas"), F.transform("all", lambda x: x["cng"]).alias("forms")))
+
+
+def scored(spark, sf):
+    """Nodes with the scores of two walks and their blend."""
+    nodes, conflict, q = base(spark, sf)
+    one = stats.edges_smoothed(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict)
+    two = stats.edges_smoothed(nodes, "cng", stats.cooccurrences(nodes, "cng"), conflict, unseen=1 / 440000)
+    a, b = (walk.walk_steps(nodes, e, q, STEPS) for e in cut(spark, one, two))
+    rows = nodes.join(a.withColumnRenamed("score", "w2w"), ["sent_id", "node_id"]).join(b.withColumnRenamed("score", "t2t"), ["sent_id", "node_id"])
+    return q, rows.withColumn("blend", F.col("w2w") + F.col("t2t"))
+
+
+@query("training_rows")
+def training_rows(spark, sf):
+    q, rows = scored(spark, sf)
+    return audits.training_rows(rows, q, s.gold(spark, sf), ["w2w", "t2t"], "blend")
+
+
+@query("learned_shares")
+def learned_shares(spark, sf):
+    _, rows = scored(spark, sf)
+    known = s.gold(spark, sf).select("sent_id", "lemma").distinct().withColumn("hit", F.lit(1))
+    flags = rows.join(known, ["sent_id", "lemma"], "left").withColumn("flag", F.coalesce("hit", F.lit(0)))
+    return audits.learned_shares(flags, "flag", ["w2w", "t2t"], 0.1)
+
+
+@query("selection_export")
+def selection_export(spark, sf):
+    return audits.exported(greedy_predict(spark, sf), s.nodes(spark, sf))
