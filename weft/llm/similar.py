@@ -1,6 +1,7 @@
 """Exact similarity join of documents by the Jaccard similarity of their word n-grams.
 
-1. Documents with equal shingle sets are one class, found by a 128-bit hash of the set; what follows sees classes only.
+1. Documents with equal shingle sets are one class, found by a 128-bit hash of the set; what follows sees classes only
+   and knows each by half of its hash.
 2. Each class hashes its shingles into groups. Two sets whose similarity reaches the threshold differ in at most T
    shingles, and each of these spoils one group; of more than T groups at least one holds the same shingles in both. The
    keys of the groups' contents deal the classes to runs, the leaves in which partners can meet. (An R-tree over count
@@ -27,6 +28,7 @@ one node of the graph. A null doc_id has no links and a null component. Repeated
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,18 @@ from weft.llm.common import SHARD_BYTES, as_bytes, mix64, pack, prepare, table,
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 DIMS = 32
-#: Members of a run that gives all its pairs; bytes of text whose keys one bucket holds; pairs of one hub in one task.
-SHORT, BUCKET_BYTES, HUB = 8, 64 << 20, 4096
+#: Members of a run that gives all its pairs; bytes of text whose keys one bucket holds; partners of one member in one row.
+SHORT, BUCKET_BYTES, HUB = 8, 96 << 20, 4096
 LEAF = 16
+#: Cells of the table in which one task marks who meets whom in its long runs.
+TABLE = 1 << 26
+#: Smaller sets have no partner but an equal one.
+LEAST = 6
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-SIGNED = "shard int, doc_id bigint, n bigint, k1 bigint, k2 bigint"
+SIGNED = "doc_id bigint, n bigint, k1 bigint, k2 bigint"
 KEYS = "bucket int, keys binary, each binary, docs binary, sizes binary, points binary"
-PAIRS = "a bigint, b bigint, run bigint, n bigint, point binary"
-SENT = "v int, doc bigint, text binary"
+MET = "a bigint, bs binary, bucket int, runs binary"
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,18 +167,23 @@ class CountTree:
         self.nodes[k] = high, int(self.sizes[members].min()), members, kids
         return k
 
-    def search(self, q: int) -> np.ndarray:
-        """Members whose overlap with member q may reach what a link needs."""
-        found, todo = [np.empty(0, np.int64)], [0]
+    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) pairs whose overlap may reach what a link needs; the queries go down the tree together."""
+        out_q, out_m, todo = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [(0, np.asarray(queries))]
         while todo:
-            high, least, members, kids = self.nodes[todo.pop()]
-            if np.minimum(self.points[q], high).sum() < needed(self.sizes[q], least, self.percent):
+            node, q = todo.pop()
+            high, least, members, kids = self.nodes[node]
+            q = q[np.minimum(self.points[q], high).sum(axis=1) >= needed(self.sizes[q], least, self.percent)]
+            if not len(q):
                 continue
             if kids:
-                todo += kids
-            else:
-                found.append(members[may_link(self.points, self.sizes, np.full(len(members), q), members, self.percent)])
-        return np.concatenate(found)
+                todo += [(k, q) for k in kids]
+                continue
+            a, b = np.repeat(q, len(members)), np.tile(members, len(q))
+            ok = may_link(self.points, self.sizes, a, b, self.percent)
+            out_q.append(a[ok])
+            out_m.append(b[ok])
+        return np.concatenate(out_q), np.concatenate(out_m)
 
 
 def pairs_in(lengths: np.ndarray, starts: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,151 +236,215 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     prepare(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    n_shards, n_buckets = -(-total // SHARD_BYTES) or 1, -(-total // BUCKET_BYTES) or 1
-    shard_of = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(n_shards)).cast("int")
-    dealt = docs.withColumn("shard", shard_of(F.col("doc_id")))
+    n_buckets = -(-total // BUCKET_BYTES) or 1
 
-    def sign(found: pa.Table) -> pa.Table:
-        hashes, sizes = shingle_sets(as_bytes(found["text"]), width)
-        out = {"shard": found["shard"], "doc_id": found["doc_id"], "n": sizes}
-        ends = np.cumsum(sizes)
-        for k, base in (("k1", BASES[0]), ("k2", BASES[1])):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ np.uint64(base)))])
-            out[k] = mix64(total[ends] - total[ends - sizes]).view(np.int64)
-        return pa.table(out).cast(pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())]))
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch):
+                hashes, sizes = shingle_sets(as_bytes(part.column(1)), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *(pa.array(set_hash(hashes, sizes, base)) for base in BASES)], ["doc_id", "n", "k1", "k2"])
 
-    signed = dealt.groupBy("shard").applyInArrow(sign, SIGNED).checkpoint()
+    signed = docs.mapInArrow(sign, SIGNED).checkpoint()
     classes = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).checkpoint()
 
-    def keys(found: pa.Table, reps: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("bucket", "keys", "each", "docs", "sizes", "points")}
-        wanted = set(zip(reps["rep"].to_pylist(), reps["k1"].to_pylist(), strict=True))
-        if not wanted or not len(found):
-            return make(out, KEYS)
-        mine = {i for i, _ in wanted}
-        at = [k for k, i in enumerate(found["doc_id"].to_pylist()) if i in mine]
-        found = found.take(at)
-        hashes, sizes = shingle_sets(as_bytes(found["text"]), width)
-        ids = found["doc_id"].to_numpy()
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ np.uint64(BASES[0])))])
-        ends = np.cumsum(sizes)
-        k1 = mix64(total[ends] - total[ends - sizes]).view(np.int64).tolist()
-        chosen, done = [], set()  # the rows of the classes that ask, each once
-        for k, name in enumerate(zip(ids.tolist(), k1, strict=True)):
-            if name in wanted and name not in done:
-                done.add(name)
-                chosen.append(k)
-        use = np.zeros(len(ids), bool)
-        use[chosen] = True
-        hashes, ids, sizes = hashes[np.repeat(use, sizes)], ids[use], sizes[use]
-        key, owner = group_keys(hashes, sizes, Bands(percent))
-        points = points_of(hashes, sizes)
-        bucket = (key % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
-            docs, each = np.unique(owner[part], return_counts=True)
-            for name, value in (("bucket", int(bucket[part[0]])), ("keys", key[part].tobytes()), ("each", pack(each)), ("docs", ids[docs].tobytes()), ("sizes", pack(sizes[docs])), ("points", points[docs].tobytes())):
-                out[name].append(value)
-        return make(out, KEYS)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen, held, size = Bands(percent), set(), [], 0
+        for batch in batches:
+            for part in portions(batch):
+                hashes, sizes = shingle_sets(as_bytes(part.column(1)), width)
+                names = set_hash(hashes, sizes, BASES[0])
+                use = np.zeros(len(names), bool)  # copies inside a portion go once
+                use[np.unique(names, return_index=True)[1]] = True
+                use &= (sizes >= LEAST) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                hashes, names, sizes = hashes[np.repeat(use, sizes)], names[use], sizes[use]
+                key, owner = group_keys(hashes, sizes, bands)
+                points = points_of(hashes, sizes)
+                bucket = (key % np.uint64(n_buckets)).astype(np.int64)
+                short = (key >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                order = np.lexsort((owner, bucket))
+                out = {n: [] for n in ("bucket", "keys", "each", "docs", "sizes", "points")}
+                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+                    docs, each = np.unique(owner[own], return_counts=True)
+                    for name, value in (("bucket", int(bucket[own[0]])), ("keys", short[own].tobytes()), ("each", pack(each)), ("docs", names[docs].tobytes()), ("sizes", pack(sizes[docs])), ("points", points[docs].tobytes())):
+                        out[name].append(value)
+                yield from make(out, KEYS).to_batches()
 
     def meet(found: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in found["keys"].to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in found["docs"].to_pylist()])
-        sizes = np.concatenate([unpack(x) for x in found["sizes"].to_pylist()]).astype(np.int64)
+        raw = np.frombuffer(b"".join(found["keys"].to_pylist()), np.uint8).reshape(-1, 5)
+        key = sum(raw[:, k].astype(np.int64) << (8 * k) for k in range(5))
+        every = np.concatenate([np.frombuffer(x, np.int64) for x in found["docs"].to_pylist()])
+        ids, at, owner = np.unique(every, return_index=True, return_inverse=True)  # copies of other portions fall together
+        sizes = np.concatenate([unpack(x) for x in found["sizes"].to_pylist()]).astype(np.int64)[at]
         each = np.concatenate([unpack(x) for x in found["each"].to_pylist()]).astype(np.int64)
-        points = np.frombuffer(b"".join(found["points"].to_pylist()), np.uint32).reshape(-1, DIMS)
-        rank = np.argsort(np.argsort(ids, kind="stable"))
-        owner = np.repeat(np.arange(len(ids)), each)
-        order = np.lexsort((rank[owner], key))
+        points = np.frombuffer(b"".join(found["points"].to_pylist()), np.uint32).reshape(-1, DIMS)[at]
+        owner = np.repeat(owner, each)
+        order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[new], owner[new]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         lengths = np.diff(np.append(starts, len(key)))
         a, b = pairs_in(lengths, starts, owner)
-        code = np.unique(np.minimum(rank[a], rank[b]) * len(ids) + np.maximum(rank[a], rank[b]))
-        by_rank = np.argsort(ids, kind="stable")
-        a, b = by_rank[code // max(1, len(ids))], by_rank[code % max(1, len(ids))]
-        ok = (ids[a] != ids[b]) & (np.minimum(sizes[a], sizes[b]) * 100 >= percent * np.maximum(sizes[a], sizes[b]))
+        code = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
+        a, b = code // max(1, len(ids)), code % max(1, len(ids))
+        ok = np.minimum(sizes[a], sizes[b]) * 100 >= percent * np.maximum(sizes[a], sizes[b])
         a, b = a[ok], b[ok]
         ok = may_link(points, sizes, a, b, percent)
         a, b = a[ok], b[ok]
-        # Members of long runs go along, for the second round.
-        long = np.flatnonzero(np.repeat(lengths, lengths) > SHORT)
-        none = [None] * len(a)
-        return make({"a": np.concatenate([ids[a], ids[owner[long]]]), "b": np.concatenate([ids[b], ids[owner[long]]]), "run": none + key[long].view(np.int64).tolist(), "n": none + sizes[owner[long]].tolist(), "point": none + [points[k].tobytes() for k in owner[long].tolist()]}, PAIRS)
-
-    reps = classes.where("n > 1").select(shard_of(F.col("rep")).alias("shard"), "rep", "k1")
-    met = dealt.groupBy("shard").cogroup(reps.groupBy("shard")).applyInArrow(keys, KEYS).groupBy("bucket").applyInArrow(meet, PAIRS).checkpoint()
-    pairs = met.where("run is null").select("a", "b").distinct()
-    links = verify(dealt, pairs, shard_of, total, width, percent).checkpoint()
+        out = hubs(ids[a], ids[b])
+        # Long runs go along for the second round: the bucket's runs in one row, and their members, each once.
+        far = np.repeat(lengths, lengths) > SHORT
+        members, place = np.unique(owner[far], return_inverse=True)
+        if len(members):
+            bucket = found["bucket"][0].as_py()
+            out["a"] += ids[members].tolist()
+            out["bs"] += [None] * len(members)
+            out["bucket"] += [bucket] * (len(members) + 1)
+            out["a"].append(None)
+            out["bs"].append(None)
+            long = lengths[lengths > SHORT]
+            out["runs"] = [None] * (len(out["a"]) - 1) + [b"".join((np.array([len(members), len(long), len(place)], np.int64).tobytes(), ids[members].tobytes(), sizes[members].tobytes(), long.tobytes(), place.astype(np.int64).tobytes(), points[members].tobytes()))]
+        else:
+            out["runs"] = [None] * len(out["a"])
+        return make(out, MET)
+
+    met = docs.mapInArrow(keys, KEYS).groupBy("bucket").applyInArrow(meet, MET).checkpoint()
+    pairs = met.where("bs is not null").select("a", "bs")
+    members = met.where("a is not null and bs is null").select((F.col("bucket") + 0).alias("at"), F.col("a").alias("node"))
+
+    # The texts of classes that have candidates, moved once; both rounds verify on them.
+    asked = spread(pairs.withColumn("v", F.pmod(F.xxhash64("a"), F.lit(parts_of(total))).cast("int"))).select("node").unionByName(members.select("node")).distinct()
+    asked = asked.join(classes.select(F.col("k1").alias("node"), "rep", F.col("n").alias("size")), "node").groupBy("rep").agg(F.collect_list(F.struct("node", "size")).alias("asked"))
+    texts = docs.join(asked, F.col("doc_id") == F.col("rep")).select("asked", "text")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows with equal doc_id may have different texts: the one with the class's set is sent.
+        for batch in batches:
+            hashes, sizes = shingle_sets(as_bytes(batch.column(1)), width)
+            names = set_hash(hashes, sizes, BASES[0]).tolist()
+            at = [k for k, wanted in enumerate(batch.column(0).to_pylist()) if any(w["node"] == names[k] for w in wanted)]
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.int64()), batch.column(1).take(pa.array(at, pa.int64()))], ["node", "text"])
+
+    texts = texts.mapInArrow(own, "node bigint, text string").checkpoint()
+    links = verify(texts, pairs, total, width, percent).checkpoint()
     roots = components(links)
 
     # Long runs whose members the links so far leave in several components.
-    runs = met.where("run is not null").select("run", F.col("a").alias("node"), "n", "point").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
-    split = runs.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("run")
-
-    def across(found: pa.Table) -> pa.Table:
-        order = np.argsort(found["node"].to_numpy(), kind="stable")
-        ids, roots, sizes = (found[c].to_numpy()[order] for c in ("node", "root", "n"))
-        points = np.frombuffer(b"".join(found["point"].to_pylist()), np.uint32).reshape(-1, DIMS)[order]
-        tree = CountTree(points, sizes, percent)
-        names, counts = np.unique(roots, return_counts=True)
-        main = names[counts.argmax()]
-        a, b = [], []
-        for q in np.flatnonzero(roots != main).tolist():
-            near = tree.search(q)
-            # Pairs of two minor components come from the smaller member only; those of the first member were seen.
-            near = near[(roots[near] != roots[q]) & ((roots[near] == main) | (ids[near] > ids[q])) & (near != 0)] if q else near[:0]
-            a.append(np.minimum(ids[q], ids[near]))
-            b.append(np.maximum(ids[q], ids[near]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.table({"a": a, "b": b}).cast(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    more = runs.join(split, "run").groupBy("run").applyInArrow(across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
+    rooted = members.join(roots, "node", "left").select("at", "node", F.coalesce("root", "node").alias("root"))
+
+    def across(found: pa.Table, rooted: pa.Table) -> pa.Table:
+        out = hubs(np.empty(0, np.int64), np.empty(0, np.int64))
+        for data in found["runs"].to_pylist():
+            n, n_runs, n_places = np.frombuffer(data, np.int64, 3)
+            ids, sizes, lengths, places = np.split(np.frombuffer(data, np.int64, 2 * n + n_runs + n_places, offset=24), np.cumsum([n, n, n_runs]))
+            points = np.frombuffer(data, np.uint32, offset=24 + 8 * (2 * n + n_runs + n_places)).reshape(-1, DIMS)
+            names = rooted["node"].to_numpy()
+            order = np.argsort(names, kind="stable")
+            root = rooted["root"].to_numpy()[order][np.searchsorted(names[order], ids)]
+            starts = np.cumsum(lengths) - lengths
+            low, high = np.minimum.reduceat(root[places], starts), np.maximum.reduceat(root[places], starts)
+            runs = [places[s : s + k] for s, k in zip(starts[low != high].tolist(), lengths[low != high].tolist(), strict=True)]
+            # In each run, members outside its largest component meet all members of other components.
+            minor = []
+            for r in runs:
+                own, count = np.unique(root[r], return_counts=True)
+                minor.append(r[root[r] != own[count.argmax()]])
+            asking = np.unique(np.concatenate(minor)) if minor else np.empty(0, np.int64)
+            tree = CountTree(points, sizes, percent) if len(asking) else None
+            step = max(1, TABLE // max(1, int(n)))
+            for at in range(0, len(asking), step):
+                block = asking[at : at + step]
+                meet = np.zeros((len(block), n), bool)
+                for r, m in zip(runs, minor, strict=True):
+                    rows = np.searchsorted(block, m[(m >= block[0]) & (m <= block[-1])])
+                    if len(rows):
+                        meet[np.ix_(rows, r)] = True
+                q, near = tree.search(block)
+                keep = meet[np.searchsorted(block, q), near] & (root[near] != root[q])
+                for name, values in hubs(ids[q[keep]], ids[near[keep]]).items():
+                    out[name] += values
+        return make({"a": out["a"], "bs": out["bs"]}, "a bigint, bs binary")
+
+    runs = met.where("runs is not null").select("bucket", "runs")
+    more = runs.groupBy("bucket").cogroup(rooted.groupBy("at")).applyInArrow(across, "a bigint, bs binary").checkpoint()
     if not more.isEmpty():
-        roots = components(links.unionByName(verify(dealt, more, shard_of, total, width, percent)))
-
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
-    # Rows with equal doc_id are one node: their classes' components are one, too.
-    own = signed.where("n > 0").join(named, ["k1", "k2"], "left")
-    alone = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return own.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id")).unionByName(alone).withColumnRenamed("n", "n_shingles")
-
-
-def verify(dealt: DataFrame, pairs: DataFrame, shard_of, total: int, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents that link. Texts go to parts by the pair's first document, a busy one to several."""
-    pairs = pairs.checkpoint()
-    parts = max(1, -(-total // (2 * SHARD_BYTES)))
-    busy = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("blocks"))
-    part = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks")), F.lit(parts)).cast("int")
-    placed = pairs.join(busy, "a").select("a", "b", part.alias("v")).checkpoint()
-    wanted = placed.select("v", F.col("a").alias("doc")).unionByName(placed.select("v", F.col("b").alias("doc"))).distinct()
-    wanted = wanted.groupBy("doc").agg(F.collect_list("v").alias("vs")).withColumn("shard", shard_of(F.col("doc")))  # at most one entry per part
-
-    def send(found: pa.Table, wanted: pa.Table) -> pa.Table:
-        out = {"v": [], "doc": [], "text": []}
-        ask = dict(zip(wanted["doc"].to_pylist(), wanted["vs"].to_pylist(), strict=True))
-        for i, text in zip(found["doc_id"].to_pylist(), as_bytes(found["text"]), strict=True):
-            for v in ask.get(i, ()) if i is not None else ():
-                out["v"].append(v)
-                out["doc"].append(i)
-                out["text"].append(text or b"")
-        return make(out, SENT)
+        roots = components(links.unionByName(verify(texts, more, total, width, percent)))
+
+    named = classes.join(roots, F.col("k1") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("root", "k1").alias("root"))
+    # Rows with equal doc_id are one node of the graph, and the smallest doc_id names a component.
+    named = one_per_id(signed, named)
+    return signed.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def one_per_id(signed: DataFrame, named: DataFrame) -> DataFrame:
+    """k1, k2, component: the smallest doc_id of each root's classes, roots that share a doc_id being one."""
+    least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    named = named.join(least, "root").select("k1", "k2", "component")
+    several = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("k1", "k2").alias("sets")).where("sets > 1").select("doc_id").checkpoint()
+    if several.isEmpty():
+        return named
+    shared = signed.where("n > 0").join(several, "doc_id").join(named, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set("component").alias("all"))  # a doc_id's few rows
+    links = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+    joined = components(links).select(F.col("node").alias("component"), F.col("root").alias("first"))
+    return named.join(joined, "component", "left").select("k1", "k2", F.coalesce("first", "component").alias("component"))
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about SHARD_BYTES of text."""
+    sizes = np.array([len(x or b"") for x in as_bytes(batch.column(1))], np.int64)
+    part = np.cumsum(sizes) // SHARD_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def set_hash(hashes: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """One number for each set, whatever the order of its members."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ np.uint64(base)))])
+    ends = np.cumsum(sizes)
+    return mix64(total[ends] - total[ends - sizes]).view(np.int64)
+
+
+def hubs(a: np.ndarray, b: np.ndarray) -> dict:
+    """Pairs by their first member, whose partners go in one row."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    edges = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+    return {"a": a[edges].tolist(), "bs": [x.tobytes() for x in np.split(b, edges[1:])] if len(a) else [], "bucket": [None] * len(edges)}
+
+
+def parts_of(total: int) -> int:
+    return max(1, -(-total // (2 * SHARD_BYTES)))
+
+
+def spread(placed: DataFrame) -> DataFrame:
+    """v, node: the members of the pairs of each part, each once."""
+
+    def run(found: pa.Table) -> pa.Table:
+        nodes = np.unique(np.concatenate([found["a"].to_numpy(), *(np.frombuffer(x, np.int64) for x in found["bs"].to_pylist())]))
+        return make({"v": [found["v"][0].as_py()] * len(nodes), "node": nodes}, "v int, node bigint")
+
+    return placed.groupBy("v").applyInArrow(run, "v int, node bigint")
+
+
+def verify(texts: DataFrame, pairs: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+    """The pairs (a, each of bs) that link. Texts go to parts by the pair's first member, a busy one's rows to several."""
+    salt = F.when(F.octet_length("bs") > 8 * HUB, F.xxhash64("bs")).otherwise(F.lit(0))
+    placed = pairs.select("a", "bs", F.pmod(F.xxhash64("a", salt), F.lit(parts_of(total))).cast("int").alias("v")).checkpoint()
+    sent = spread(placed).join(texts, "node").select((F.col("v") + 0).alias("part"), "node", "text")
 
     def check(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        hashes, sizes = shingle_sets(texts["text"].to_pylist(), width)
+        hashes, sizes = shingle_sets(as_bytes(texts["text"]), width)
         ends = np.cumsum(sizes)
-        of: dict[int, list[np.ndarray]] = defaultdict(list)
-        for i, s, e in zip(texts["doc"].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-            of[i].append(hashes[s:e])
-        a, b = [], []
-        for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-            if any(linked(p, q, percent) for p in of[x] for q in of[y]):
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    texts = dealt.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(send, SENT)
-    return placed.groupBy("v").cogroup(texts.groupBy("v")).applyInArrow(check, "a bigint, b bigint")
+        of = {i: hashes[s:e] for i, s, e in zip(texts["node"].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True)}
+        found = set()
+        for a, bs in zip(pairs["a"].to_pylist(), pairs["bs"].to_pylist(), strict=True):
+            found |= {(a, b) for b in np.frombuffer(bs, np.int64).tolist() if (a, b) not in found and linked(of[a], of[b], percent)}
+        return make({"a": [x for x, _ in found], "b": [y for _, y in found]}, "a bigint, b bigint")
+
+    return placed.groupBy("v").cogroup(sent.groupBy("part")).applyInArrow(check, "a bigint, b bigint")
 
 
 def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
