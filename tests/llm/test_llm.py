@@ -253,6 +253,39 @@ def test_similar(docs, rows, none, monkeypatch, short):
     assert similar.join(none).count() == 0
 
 
+def test_least_linked_sets():
+    for percent in (50, 75, 80, 85, 90, 99):
+        n = similar.least_linked(percent)
+        assert 100 * n >= percent * (n + 1) and 100 * (n - 1) < percent * n
+
+
+@pytest.mark.parametrize("short", [2, 8])
+def test_pipeline_drops_near_copies_from_80_percent(spark, monkeypatch, short):
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "SHORT", short)
+    rng = random.Random(11)
+    made = []
+    for n in (8, 9, 12, 20, 45, 104, 400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        made += [base, [*base, "more"], base[:-1]]  # 4 and 5 shingles: a similarity of 0.8
+        for share in (0.02, 0.05, 0.09, 0.11, 0.15):  # one contiguous block is another
+            k, at = round(share * (n - 4)), rng.randrange(n // 2)
+            made.append(base[:at] + [f"x{rng.randrange(10**6)}" for _ in range(k)] + base[at + k :])
+    rows = [(k, " ".join(w)) for k, w in enumerate(made, 1)]
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in enumerate(made, 1)}
+    root = {i: i for i in sets}
+    for _ in sets:  # the smallest of each component
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_similar(spark, docs, "").collect()}
+    assert kept == {i for i in root if root[i] == i} and 1 < len(kept) < len(rows)
+
+
 def test_tree_misses_no_partner():
     rng = np.random.default_rng(4)
     points = rng.poisson(5, (200, similar.DIMS)) + (rng.integers(0, 4, 200) * 3)[:, None]

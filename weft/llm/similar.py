@@ -45,8 +45,6 @@ SHORT, BUCKET_BYTES, HUB = 8, 96 << 20, 4096
 LEAF = 16
 #: Cells of the table in which one task marks who meets whom in its long runs.
 TABLE = 1 << 26
-#: Smaller sets have no partner but an equal one.
-LEAST = 6
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 SIGNED = "doc_id bigint, n bigint, k1 bigint, k2 bigint"
@@ -77,12 +75,26 @@ def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.
     return hashes[new], np.bincount(doc[new], minlength=len(words))
 
 
+def least_linked(percent: int) -> int:
+    """Sets of fewer shingles have no partner but an equal one: the nearest other set has one more shingle."""
+    return max(1, -(-percent // (100 - percent))) if percent < 100 else np.iinfo(np.int64).max
+
+
+def spares(size: int, most: int) -> int:
+    """Spare groups, somewhat more than the groups that the smallest sets of a band leave empty on average."""
+    empty = 0.0
+    for _ in range(20):
+        m = most + 1 + 1.6 * empty
+        empty = m * np.exp(-size / m)
+    return min(int(np.ceil(1.6 * empty)), most) + 2
+
+
 class Bands:
     """Sizes by band; for each band the number of groups and of spare ones among them."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.edges, self.groups, self.spare = [2], [], []
+        self.edges, self.groups, self.spare = [min(2, least_linked(percent))], [], []
 
     def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The most shingles in which linked sets of these sizes differ."""
@@ -92,7 +104,7 @@ class Bands:
         while len(sizes) and self.edges[-1] <= sizes.max():
             top = self.edges[-1] * 100 // self.percent  # the band's largest size
             most = int(self.differ(np.int64(top), np.int64(top * 100 // self.percent)))
-            spare = int(np.ceil(0.014 * most)) + 2
+            spare = spares(self.edges[-1], most)
             self.edges.append(top + 1)
             self.groups.append(most + 1 + spare)
             self.spare.append(spare)
@@ -248,14 +260,14 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     classes = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).checkpoint()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen, held, size = Bands(percent), set(), [], 0
+        bands, least = Bands(percent), least_linked(percent)
         for batch in batches:
             for part in portions(batch):
                 hashes, sizes = shingle_sets(as_bytes(part.column(1)), width)
                 names = set_hash(hashes, sizes, BASES[0])
                 use = np.zeros(len(names), bool)  # copies inside a portion go once
                 use[np.unique(names, return_index=True)[1]] = True
-                use &= (sizes >= LEAST) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                use &= (sizes >= least) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
                 hashes, names, sizes = hashes[np.repeat(use, sizes)], names[use], sizes[use]
                 key, owner = group_keys(hashes, sizes, bands)
                 points = points_of(hashes, sizes)
