@@ -389,6 +389,24 @@ def test_colliding_surrogates_draw_again(spark, monkeypatch, few):
     assert len({r.entity for r in got}) == len({r.made for r in got}) == len(got)
 
 
+def test_more_names_than_the_pools_hold(spark):
+    letters = "abcdefghij"
+    names = [f"Q{letters[k // 100]}{letters[k // 10 % 10]}{letters[k % 10]}" for k in range(700)]
+    cyrillic = [f"Щ{'абвгдежзик'[k // 100]}{'абвгдежзик'[k // 10 % 10]}{'абвгдежзик'[k % 10]}" for k in range(300)]
+    rows = [(k, f"by Mr {n} and Mrs {n}, Mr {n} again") for k, n in enumerate(names)] + [(1000 + k, f"это госпожа {n}") for k, n in enumerate(cyrillic)]
+    got = surrogates.replace(spark.createDataFrame(rows, "doc_id bigint, text string")).select(F.explode("found").alias("e")).select("e.*").distinct().collect()
+    assert len({r.entity for r in got}) == len({r.made for r in got}) == len(got) == 1700
+    assert all(re.fullmatch(r"(Mr|Mrs) [A-Z][a-z]+|госпожа [А-ЯЁ][а-яё]+", r.made) and r.made.split()[0] == r.entity.split()[0] for r in got)
+
+
+def test_too_few_surrogates_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 2)
+    monkeypatch.setattr(surrogates, "address", lambda entity, code: F.lit("192.0.2.1"))
+    docs = spark.createDataFrame([(k, f"10.0.0.{k}") for k in range(5)], "doc_id bigint, text string")
+    with pytest.raises(RuntimeError, match="ip"):
+        surrogates.replace(docs)
+
+
 # ---- queries
 
 

@@ -6,7 +6,10 @@ become names of the same gender and script. The same entity gets the same replac
 the key, the type and the entity's normal form), so coreference holds within and across documents.
 
 Distinct entities must stay distinct. All distinct entities are gathered once; those whose replacement is also that of
-another entity, or is itself an entity of the corpus, draw again with the next salt until none is left. Only these few
+another entity, or is itself an entity of the corpus, draw again with the next salt until none is left. With the salt
+the space to draw from grows: names get a further syllable each time, e-mail addresses longer suffixes, IP addresses a
+larger network. Numbers keep their length; where an input holds more of them than can have distinct surrogates (about
+half of all numbers of a format), the query fails. Only the entities that draw again
 need a table: every other entity's replacement is computed where it stands, so an entity that is in a third of all rows
 needs no join and no shuffle of texts.
 
@@ -46,7 +49,12 @@ SIGN = r"[@0-9]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Sra?|Monsieur|Madame)\b|
 KEY = "weft"
 #: Colliding entities up to this number are sent to all executors; beyond it they are joined by a shuffle.
 BROADCAST_CLASHES = 100_000
-ROUNDS = 20
+#: After so many rounds entities still clash only if their format has too few other members; this is an error.
+ROUNDS = 200
+#: The salt from which IP addresses are drawn from the larger network.
+WIDE = 8
+#: A further syllable is added to names for each salt, up to this number.
+SYLLABLES = 16
 
 
 def written(text: str) -> Column:
@@ -98,16 +106,21 @@ def hexadecimal(entity: Column, code: Column) -> Column:
     return F.substring(F.concat(code, F.sha2(code.cast("binary"), 512)), F.lit(1), F.length(entity))
 
 
-def pick(words: list[str], code: Column, at: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, words)), nibbles(code, F.lit(at), 6) % len(words) + 1)
+def pick(words: list[str], code: Column, at: int | Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), nibbles(code, at if isinstance(at, Column) else F.lit(at), 6) % len(words) + 1)
 
 
-def person(kind: str, entity: Column, code: Column) -> Column:
-    """The title stays; a given name of the same gender and script, and a family name where there was one."""
+def person(kind: str, entity: Column, code: Column, salt: Column) -> Column:
+    """The title stays; a given name of the same gender and script where there was one, and a family name.
+
+    Each salt adds a syllable to the family name and so makes ten or twenty times as many names.
+    """
 
     def named(script: str) -> Column:
         title, rest = F.substring_index(entity, " ", 1), F.size(F.split(entity, " "))
         given, family = pick(NAMES[kind, script], code, 0), F.concat(pick(FAMILY[script], code, 8), pick([x.lower() for x in FAMILY[script]], code, 16))
+        more = F.transform(F.sequence(F.lit(1), F.least(salt, F.lit(SYLLABLES))), lambda i: pick([x.lower() for x in FAMILY[script]], code, i * 7 + 17))
+        family = F.when(salt > 0, F.concat(family, F.array_join(more, ""))).otherwise(family)
         return F.concat_ws(" ", title, F.when(rest > 2, given), family)
 
     return F.when(entity.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
@@ -118,6 +131,11 @@ def address(entity: Column, code: Column) -> Column:
     return F.concat_ws(".", F.lit("10"), *(nibbles(code, F.lit(k), 2).cast("string") for k in (0, 2, 4)))
 
 
+def wide_address(code: Column) -> Column:
+    """An address in 240.0.0.0/4, which is reserved, whose 28 free bits follow from the code."""
+    return F.concat_ws(".", (nibbles(code, F.lit(6), 1) + 240).cast("string"), *(nibbles(code, F.lit(k), 2).cast("string") for k in (0, 2, 4)))
+
+
 def luhn(number: Column) -> Column:
     """A card number with its last digit set so that its check sum holds."""
     digits = F.regexp_replace(number, r"\D", "")
@@ -132,14 +150,15 @@ def surrogate(kind: Column, entity: Column, name: Column, salt: Column, key: str
     spelled = respell(entity, code)
     local, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     return (
-        F.when(kind == "email", F.concat(respell(F.lower(local), code), F.lit("."), F.substring(code, 1, 6), F.lit("@"), F.lit("example."), F.substring_index(F.lower(host), ".", -1)))
+        F.when(kind == "email", F.concat(respell(F.lower(local), code), F.lit("."), F.substring(code, F.lit(1), F.least(salt, F.lit(20)) * 2 + 6), F.lit("@"), F.lit("example."), F.substring_index(F.lower(host), ".", -1)))
+        .when((kind == "ip") & (salt >= WIDE), wide_address(code))
         .when(kind == "ip", address(entity, code))
         .when(kind == "iban", F.concat(F.substring(entity, 1, 2), F.substring(spelled, F.lit(3), F.length(entity))))
         .when(kind == "card", luhn(spelled))
         .when(kind == "phone", F.when(entity.startswith("+"), F.concat(F.regexp_extract(entity, r"^\+\d{1,3}?(?=[ .(-]|\d)", 0), F.substring(spelled, F.length(F.regexp_extract(entity, r"^\+\d{1,3}?(?=[ .(-]|\d)", 0)) + 1, F.length(entity)))).otherwise(spelled))
         .when((kind == "secret") & entity.rlike("^[0-9a-f]+$"), hexadecimal(entity, code))
-        .when(kind == "man", person("man", entity, code))
-        .when(kind == "woman", person("woman", entity, code))
+        .when(kind == "man", person("man", entity, code, salt))
+        .when(kind == "woman", person("woman", entity, code, salt))
         .otherwise(spelled)
     )
 
@@ -175,6 +194,9 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
             break
         again = draw(state.join(taken, ["kind", "name"], "left_semi").withColumn("salt", F.col("salt") + 1).drop("made"))
         state = state.join(taken, ["kind", "name"], "left_anti").unionByName(again.select(state.columns)).checkpoint()
+    else:
+        left = {r.kind: r["count"] for r in taken.groupBy("kind").count().collect()}
+        raise RuntimeError(f"entities without a surrogate of their own after {ROUNDS} rounds, by kind: {left}")
     return state.where("salt > 0").select("kind", "name", "salt")
 
 
