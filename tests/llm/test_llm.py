@@ -389,6 +389,17 @@ def test_colliding_surrogates_draw_again(spark, monkeypatch, few):
     assert len({r.entity for r in got}) == len({r.made for r in got}) == len(got)
 
 
+def test_hexadecimal_secrets_of_any_case(spark):
+    low = "9233a8ecf7c50b1d9233a8ecf7c50b1d"
+    rows = [(1, f"token = {low}"), (2, f"TOKEN = {low.upper()} THERE"), (3, f"Token = {low[:16].upper()}{low[16:]}."), (4, "x" + low.upper() + " " + low.upper()[:31])]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    made = got[1].found[0].made
+    assert re.fullmatch("[0-9a-f]{32}", made) and made != low and got[1].text == f"token = {made}"
+    assert got[2].text == f"TOKEN = {made.upper()} THERE" and got[2].found[0].kind == "secret"
+    assert got[3].found[0].made.lower() == made and low[16:] not in got[3].text and low[:16].upper() not in got[3].text
+    assert not got[4].found and got[4].text == rows[3][1]
+
+
 def test_more_names_than_the_pools_hold(spark):
     letters = "abcdefghij"
     names = [f"Q{letters[k // 100]}{letters[k // 10 % 10]}{letters[k % 10]}" for k in range(700)]

@@ -31,7 +31,7 @@ TYPES = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "card": r"\b\d(?:[ -]?\d){12,18}\b",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64})\b",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9A-Fa-f]{32,64})\b",
     "man": r"\b(?:Mr|Herr|Señor|Sr|Monsieur)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?<!\p{L})господин \p{Lu}\p{Ll}+",
     "woman": r"\b(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?<!\p{L})госпожа \p{Lu}\p{Ll}+",
 }
@@ -45,7 +45,9 @@ NAMES = {
 }
 FAMILY = {"latin": "Abel Brandt Costa Dumont Evans Fischer Garcia Hansen Ibsen Jansen Keller Lopez Moreau Novak Olsen Perez Quint Rossi Silva Tanner".split(), "cyrillic": "Белов Волков Громов Жуков Зайцев Козлов Лебедев Морозов Новик Орлов".split()}
 #: A text without any of these has no entity; looking for them first is cheap.
-SIGN = r"[@0-9]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Sra?|Monsieur|Madame)\b|госп|AKIA|gh[pousr]_|sk-|[0-9a-f]{32}"
+SIGN = r"[@0-9]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Sra?|Monsieur|Madame)\b|госп|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{32}"
+#: Secrets that are one number whatever their case.
+HEXADECIMAL = "^[0-9A-Fa-f]{32,64}$"
 KEY = "weft"
 #: Colliding entities up to this number are sent to all executors; beyond it they are joined by a shuffle.
 BROADCAST_CLASHES = 100_000
@@ -72,7 +74,7 @@ def kind_of(entity: Column) -> Column:
 def normal(kind: Column, entity: Column) -> Column:
     """What stays the same however an entity is written."""
     digits = F.regexp_replace(entity, r"[ .()-]", "")
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), digits).when(kind == "email", F.lower(entity)).otherwise(entity)
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), digits).when((kind == "email") | (kind == "secret") & entity.rlike(HEXADECIMAL), F.lower(entity)).otherwise(entity)
 
 
 def stream(key: str, kind: Column, name: Column, salt: Column) -> Column:
@@ -103,7 +105,10 @@ def respell(entity: Column, code: Column) -> Column:
 
 
 def hexadecimal(entity: Column, code: Column) -> Column:
-    return F.substring(F.concat(code, F.sha2(code.cast("binary"), 512)), F.lit(1), F.length(entity))
+    """Other digits in the case of the given ones; of mixed case, each in the case of the one in its place."""
+    made = F.substring(F.concat(code, F.sha2(code.cast("binary"), 512)), F.lit(1), F.length(entity))
+    mixed = F.array_join(F.zip_with(F.split(entity, ""), F.split(made, ""), lambda a, b: F.when(a.rlike("[A-F]"), F.upper(b)).otherwise(b)), "")
+    return F.when(~entity.rlike("[A-F]"), made).when(~entity.rlike("[a-f]"), F.upper(made)).otherwise(mixed)
 
 
 def pick(words: list[str], code: Column, at: int | Column) -> Column:
@@ -156,7 +161,7 @@ def surrogate(kind: Column, entity: Column, name: Column, salt: Column, key: str
         .when(kind == "iban", F.concat(F.substring(entity, 1, 2), F.substring(spelled, F.lit(3), F.length(entity))))
         .when(kind == "card", luhn(spelled))
         .when(kind == "phone", F.when(entity.startswith("+"), F.concat(F.regexp_extract(entity, r"^\+\d{1,3}?(?=[ .(-]|\d)", 0), F.substring(spelled, F.length(F.regexp_extract(entity, r"^\+\d{1,3}?(?=[ .(-]|\d)", 0)) + 1, F.length(entity)))).otherwise(spelled))
-        .when((kind == "secret") & entity.rlike("^[0-9a-f]+$"), hexadecimal(entity, code))
+        .when((kind == "secret") & entity.rlike(HEXADECIMAL), hexadecimal(entity, code))
         .when(kind == "man", person("man", entity, code, salt))
         .when(kind == "woman", person("woman", entity, code, salt))
         .otherwise(spelled)
