@@ -115,6 +115,62 @@ def test_proximity(spark):
     assert got == {1: ["9"], 2: ["9"], 3: []}
 
 
+@pytest.mark.parametrize("block", [10, 10_000_000])
+def test_proximity_against_brute_force(spark, docs, rows, block):
+    rng = random.Random(3)
+    items = []
+    for k in range(0, 60, 4):  # passages with a word inserted and two exchanged
+        w = rows[k][1].split()[:20]
+        w.insert(len(w) // 2, "inserted")
+        if len(w) > 3:
+            w[1], w[2] = w[2], w[1]
+        items.append((k, " ".join(w)))
+        items.append((100 + k, " ".join(rows[k][1].split()[-3:] + rows[k + 1][1].split()[:2])))  # over a document's edge
+        items.append((200 + k, " ".join(rng.sample(rows[k][1].split(), min(3, len(rows[k][1].split()))))))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {(r.doc_id, r.near_sha): (r.near, r.n_near) for r in decontaminate.decontaminate(docs, bench, slop=2, block_words=block).withColumn("near_sha", F.concat_ws(",", "near")).collect()}
+    for i, text, *_ in rows:
+        own, want = word.findall(lower(text or "")), set()
+        for name, t in items:
+            w = word.findall(lower(t))
+            n = min(13, len(w))
+            for s in range(len(w) - n + 1):
+                window = w[s : s + n]
+                for anchor in set(window):  # the rarest in the segment is one of these
+                    if any(all(x in own[max(0, p - n - 2) : p + n + 3] for x in window) for p, x in enumerate(own) if x == anchor):
+                        want.add((str(name), anchor))
+        names = {n for n, _ in want}
+        found = next(v for (d, _), v in got.items() if d == i)
+        assert set(found[0]) <= names and (found[1] > 0) == bool(found[0])
+        sure = {n for n in names if all((n, a) in want for a in set(word.findall(lower(dict((str(k), t) for k, t in items)[n])))) and len(word.findall(lower(dict((str(k), t) for k, t in items)[n]))) <= 13}
+        assert sure <= set(found[0])
+
+
+def test_proximity_stays_inside_a_document(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three four"), (3, "one nine two three four")], "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([(9, "one two three four")], "item_id bigint, text string")
+    got = {r.doc_id: (r.near, r.n_near, r.n_hit) for r in decontaminate.decontaminate(docs, bench, slop=2).collect()}
+    assert got == {1: ([], 0, 0), 2: ([], 0, 0), 3: (["9"], 4, 0)}
+
+
+def test_pipeline_drops_proximity_matches(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = [f"p{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join([*passage[:6], "new", *passage[6:]])), (2, "nothing"), (3, " ".join(passage))], "doc_id bigint, text string")
+    spark.createDataFrame([(5, " ".join(passage))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_query_reports_proximity(spark, tmp_path):
+    passage = [f"p{k}" for k in range(12)]
+    spark.createDataFrame([(1, " ".join([*passage[:6], "new", *passage[6:]])), (2, "nothing")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, " ".join(passage))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.contaminated, r.n_near_items, r.n_near) for r in queries.QUERIES["op1_decontaminate"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, False, 1, 12), 2: (0, False, 0, 0)}
+
+
 # ---- 2
 
 

@@ -31,9 +31,13 @@ WINDOW = 13
 BLOCK_WORDS = 1_000_000
 #: Candidate positions that are tested at once.
 STEP = 1 << 20
+#: Windows whose proximity matches are looked for at once.
+WINDOWS = 1 << 16
+#: Words that proximity matches may have between them besides the window's, in the query and in the pipeline.
+SLOP = 3
 
 SEGMENT = "doc_id array<bigint>, n_words array<int>, terms binary, counts binary, sizes binary, postings binary"
-FOUND = "doc_id bigint, part bigint, ord int, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>, near array<string>"
+FOUND = "doc_id bigint, part bigint, ord int, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>, near array<string>, near_spans array<struct<start:int,end:int>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -177,25 +181,41 @@ class Phrases:
             out_p.append(q)
         return (np.concatenate(out_w), np.concatenate(out_p)) if out_w else none
 
-    def near(self, keys: np.ndarray, cf: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and rarest-term positions around which every word of the window stands within length + slop."""
-        out_w, out_p = [], []
-        for w in range(len(self.start)) if len(keys) else ():
-            terms = self.words[self.start[w] : self.start[w] + self.length[w]]
-            if (cf[terms] == 0).any():
-                continue
-            terms = terms[cf[terms].argsort(kind="stable")]
-            lo = np.searchsorted(keys, terms[0] << 32)
-            p = keys[lo : lo + cf[terms[0]]] & 0xFFFFFFFF
-            reach = self.length[w] + slop
-            for t in np.unique(terms[1:]):
-                i = np.searchsorted(keys, (t << 32) | np.maximum(p - reach, 0))
-                hit = i < len(keys)
-                hit[hit] = keys[i[hit]] <= ((t << 32) | (p[hit] + reach))
-                p = p[hit]
-            out_w.append(np.full(len(p), w))
-            out_p.append(p)
-        return (np.concatenate(out_w), np.concatenate(out_p)) if out_w else (np.empty(0, np.int64), np.empty(0, np.int64))
+    def near(self, keys: np.ndarray, cf: np.ndarray, slop: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, rarest-term positions around which every word of the window stands within length + slop in the same
+        document, and the nearest position of each word (-1 beyond the window's length). Documents by start and length."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, self.widest), np.int64))]
+        for s in range(0, len(self.start) if len(keys) else 0, WINDOWS):
+            start, length = self.start[s : s + WINDOWS], self.length[s : s + WINDOWS]
+            offsets = np.arange(self.widest)
+            terms = self.words[np.minimum(start[:, None] + offsets, len(self.words) - 1)]
+            counts = np.where(offsets < length[:, None], cf[terms], np.iinfo(np.int64).max)
+            alive = np.flatnonzero(counts.min(axis=1) > 0)
+            terms = np.take_along_axis(terms[alive], counts[alive].argsort(axis=1, kind="stable"), axis=1)
+            length = length[alive]
+            n, lo = cf[terms[:, 0]], np.searchsorted(keys, terms[:, 0] << 32)
+            for a, b in steps(n):
+                g = np.repeat(np.arange(a, b), n[a:b])
+                p = keys[np.arange(len(g)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + lo[g]] & 0xFFFFFFFF
+                d = np.searchsorted(starts, p, "right") - 1
+                low = np.maximum(p - length[g] - slop, starts[d])
+                high = np.minimum(p + length[g] + slop, starts[d] + lengths[d] - 1)
+                for r in range(1, self.widest):
+                    t = terms[g, r] << 32
+                    i = np.minimum(np.searchsorted(keys, t | low), len(keys) - 1)
+                    keep = (length[g] <= r) | (keys[i] >= t | low) & (keys[i] <= t | high)
+                    g, p, low, high = g[keep], p[keep], low[keep], high[keep]
+                places = np.full((len(g), self.widest), -1)
+                for r in range(self.widest):
+                    live = np.flatnonzero(length[g] > r)
+                    t, own = terms[g[live], r] << 32, p[live]
+                    i = np.searchsorted(keys, t | own)
+                    after, before = keys[np.minimum(i, len(keys) - 1)] - t, keys[np.maximum(i - 1, 0)] - t
+                    right = (after >= own) & (after <= high[live])
+                    left = (before < own) & (before >= low[live])
+                    places[live, r] = np.where(right & (~left | (after - own <= own - before)), after, before)
+                out.append((s + alive[g], p, places))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def steps(n: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -219,7 +239,7 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
     spark = index.sparkSession
     sent = spark.sparkContext.broadcast(phrases)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("ord", pa.int32()), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("ord", pa.int32()), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string())), ("near_spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ph = sent.value
@@ -230,17 +250,21 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
                 keys, cf = ph.postings(row)
                 w, q = ph.match(keys, cf)
                 doc = np.searchsorted(starts, q, "right") - 1
-                spans, items, near = defaultdict(list), defaultdict(set), defaultdict(set)
+                spans, items, near, near_spans = defaultdict(list), defaultdict(set), defaultdict(set), defaultdict(list)
                 for d, s, e in merged(doc, q - starts[doc], ph.length[w]):
                     spans[d].append({"start": s, "end": e})
                 for d, i in np.unique(np.stack([doc, ph.item[w]], axis=1), axis=0).tolist():
                     items[d].add(ph.names[i])
                 if slop is not None:
-                    w, q = ph.near(keys, cf, slop)
-                    for d, i in zip((np.searchsorted(starts, q, "right") - 1).tolist(), ph.item[w].tolist(), strict=True):
+                    w, q, places = ph.near(keys, cf, slop, starts, lengths)
+                    for d, i in np.unique(np.stack([np.searchsorted(starts, q, "right") - 1, ph.item[w]], axis=1), axis=0).tolist():
                         near[d].add(ph.names[i])
+                    at = np.unique(places[places >= 0])
+                    doc = np.searchsorted(starts, at, "right") - 1
+                    for d, s, e in merged(doc, at - starts[doc], np.ones(len(at), np.int64)):
+                        near_spans[d].append({"start": s, "end": e})
                 n = len(lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array([row["part"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(lengths), pa.array([spans.get(d, []) for d in range(n)], span), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())), pa.array([sorted(near.get(d, ())) for d in range(n)], pa.list_(pa.string()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array([row["part"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(lengths), pa.array([spans.get(d, []) for d in range(n)], span), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())), pa.array([sorted(near.get(d, ())) for d in range(n)], pa.list_(pa.string())), pa.array([near_spans.get(d, []) for d in range(n)], span)], schema=schema)
 
     return index.mapInArrow(run, FOUND)
 
@@ -280,9 +304,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """Finds test items in training documents.
 
     Returns for each document doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items (sorted
-    item_ids as strings), spans (word ranges that are hit), near (items with a window whose words all stand within
-    window + slop words of its rarest word; empty unless slop is given) and contaminated: n_hit > 0 and
-    share * n_hit >= n_words.
+    item_ids as strings), spans (word ranges that are hit), near (items with a window whose words all stand in the
+    document within window + slop words of its rarest word), near_spans (where these words stand), n_near (how many
+    stand there), all empty unless slop is given, and contaminated: n_hit > 0 and share * n_hit >= n_words.
     """
     spark = documents.sparkSession
     prepare(spark)
@@ -295,8 +319,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         found, n = (got if found is None else found.unionByName(got)), n + 1
     if n > 1:
         found = merge_blocks(found)
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", "near").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    hit, near = (F.aggregate(c, F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]) for c in ("spans", "near_spans"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", "near", "near_spans", near.alias("n_near")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
 def merge_blocks(found: DataFrame) -> DataFrame:
@@ -308,13 +332,14 @@ def merge_blocks(found: DataFrame) -> DataFrame:
         grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
         return F.when((F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), grown)).otherwise(F.concat(done, F.array(s)))
 
-    every = found.groupBy("part", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    every = found.groupBy("part", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"), F.array_sort(F.flatten(F.collect_list("near_spans"))).alias("all_near"))
     none = F.coalesce(empty, F.array().cast("array<struct<start:int,end:int>>"))
-    return every.withColumn("spans", F.aggregate("all", none, lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(join(a, s)))).drop("all")
+    united = lambda every: F.aggregate(every, none, lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(join(a, s)))
+    return every.withColumn("spans", united("all")).withColumn("near_spans", united("all_near")).drop("all", "all_near")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.common import table
 
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near").cast("bigint").alias("n_near_items"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"), "n_near")
