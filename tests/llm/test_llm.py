@@ -309,6 +309,14 @@ def test_similar(docs, rows, none, monkeypatch, short):
     assert similar.join(none).count() == 0
 
 
+def test_null_ids_hide_no_copies(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = " ".join([*words, "more"])
+    rows = [(None, " ".join(words)), (7, " ".join(words)), (None, near), (3, near), (9, "something else that has more than six words to it")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert out(similar.join(docs), "doc_id", "component_id") == sorted([(None, None), (7, 3), (None, None), (3, 3), (9, 9)], key=repr)
+
+
 def test_least_linked_sets():
     for percent in (50, 75, 80, 85, 90, 99):
         n = similar.least_linked(percent)

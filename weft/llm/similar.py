@@ -265,9 +265,9 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
             for part in portions(batch):
                 hashes, sizes = shingle_sets(as_bytes(part.column(1)), width)
                 names = set_hash(hashes, sizes, BASES[0])
-                use = np.zeros(len(names), bool)  # copies inside a portion go once
-                use[np.unique(names, return_index=True)[1]] = True
-                use &= (sizes >= least) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                may = np.flatnonzero((sizes >= least) & part.column(0).is_valid().to_numpy(zero_copy_only=False))
+                use = np.zeros(len(names), bool)  # copies inside a portion go once; rows without links don't stand for others
+                use[may[np.unique(names[may], return_index=True)[1]]] = True
                 hashes, names, sizes = hashes[np.repeat(use, sizes)], names[use], sizes[use]
                 key, owner = group_keys(hashes, sizes, bands)
                 points = points_of(hashes, sizes)
