@@ -233,6 +233,20 @@ def test_search_is_exact(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_query_rows_have_results_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)).round(2)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(20, x[20].tolist()), (40, x[3].tolist())]
+    got = out(topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5), "query_id", "rank", "vec_id", "score")
+    good = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for q, v in good:
+        if q % 20 == 0:
+            mine = sorted((-int(v @ w), i) for i, w in good if i != q)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(mine, 1)]
+    assert got == sorted(want, key=repr)
+
+
 def test_large_components_are_exact():
     q = np.array([[2**31, 3]])
     assert topk.products(q, np.array([[2**31, 5]]))[0, 0] == 2**62 + 15

@@ -13,7 +13,8 @@ holds every row, and the bounds hold for any pivots, so the result is exact.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null vec_id. A query
 is compared with vectors of its own length. Of rows with equal vec_id none is the query's candidate. Copies of a vector
-are all candidates, ties go to the smaller vec_id. Scores are exact 64-bit integers.
+are all candidates, ties go to the smaller vec_id. Scores are exact 64-bit integers. Query rows with equal vec_id are
+queries of their own: each has its k results under their common query_id.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ RINGS = 8
 
 KEYED = "vec_id bigint, asks boolean, dim int, pivot int, distance double, norm double, vector binary"
 PACKED = "block bigint, dim int, pivot int, low double, high double, norm double, ids binary, asks binary, vectors binary"
-HIT = "query_id bigint, vec_id bigint, score bigint"
-ASKED = "block bigint, queries binary, floors binary, vectors binary, dim int"
+#: home and place, the block that holds a query row and its place there, tell query rows with equal vec_id apart.
+HIT = "query_id bigint, home bigint, place bigint, vec_id bigint, score bigint"
+ASKED = "block bigint, home bigint, places binary, queries binary, floors binary, vectors binary, dim int"
 
 
 def usable(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[int, bool, np.ndarray]]:
@@ -139,8 +141,8 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """(query, vec_id, score) of each query's k best of a block that reach its floor, and the raised floors."""
+def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray, home: int, places: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
+    """(query, home, place, vec_id, score) of each query's k best of a block that reach its floor, and the raised floors."""
     out, floors = [], floors.copy()
     for r in range(len(own)):
         at = np.flatnonzero((ids != own[r]) & (scores[r] >= floors[r]))
@@ -150,7 +152,7 @@ def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floors
             at = at[np.lexsort((ids[at], -scores[r][at]))][:k]
         if len(at) >= k:
             floors[r] = max(floors[r], scores[r][at].min())
-        out += zip([int(own[r])] * len(at), ids[at].tolist(), scores[r][at].tolist(), strict=True)
+        out += zip([int(own[r])] * len(at), [home] * len(at), [int(places[r])] * len(at), ids[at].tolist(), scores[r][at].tolist(), strict=True)
     return out, floors
 
 
@@ -174,8 +176,8 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, scale: float = 64.0, s
                 at = np.flatnonzero(np.frombuffer(b["asks"], np.uint8))
                 if len(at):
                     ids, x = np.frombuffer(b["ids"], "<i8"), wide(b["vectors"], b["dim"])
-                    _, floors = best_of(products(x[at], x), ids, ids[at], k, np.full(len(at), LEAST))
-                    rows.append((b["block"], ids[at].tobytes(), floors.tobytes(), narrow(x[at].ravel()), b["dim"]))
+                    _, floors = best_of(products(x[at], x), ids, ids[at], k, np.full(len(at), LEAST), b["block"], at)
+                    rows.append((b["block"], b["block"], at.astype("<i8").tobytes(), ids[at].tobytes(), floors.tobytes(), narrow(x[at].ravel()), b["dim"]))
             yield columns(rows, ASKED)
 
     asked = index.mapInArrow(own_block, ASKED).checkpoint()
@@ -187,7 +189,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, scale: float = 64.0, s
             found, last, bounds = visit(index, asked, bounds, pivots, k, found), True, []
     if bounds or last is None:
         found = visit(index, asked, bounds, pivots, k, found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "home", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -202,7 +204,7 @@ def visit(index: DataFrame, asked: DataFrame, bounds: list[tuple], pivots: Pivot
             for a in batch.to_pylist():
                 own = np.flatnonzero(dim == a["dim"])
                 q = wide(a["vectors"], a["dim"]).astype(np.float64)
-                ids, floors = np.frombuffer(a["queries"], "<i8"), np.frombuffer(a["floors"], "<i8")
+                ids, floors, places = (np.frombuffer(a[c], "<i8") for c in ("queries", "floors", "places"))
                 p = pivots.get(a["dim"])
                 d, dots, size = Pivots.distances(q, p)[:, pivot[own]], (q @ p.T)[:, pivot[own]], (q * q).sum(axis=1)[:, None]
                 gap = np.maximum(0, np.maximum(d - high[own], low[own] - d) - 1e-6)
@@ -211,17 +213,17 @@ def visit(index: DataFrame, asked: DataFrame, bounds: list[tuple], pivots: Pivot
                 for j in most.max(axis=0).argsort()[::-1].tolist() if len(own) else ():
                     r = np.flatnonzero(reach[:, j])
                     if len(r):
-                        yield columns([(int(block[own[j]]), ids[r].tobytes(), floors[r].tobytes(), narrow(q[r].astype(np.int64).ravel()), a["dim"])], ASKED)
+                        yield columns([(int(block[own[j]]), a["home"], places[r].tobytes(), ids[r].tobytes(), floors[r].tobytes(), narrow(q[r].astype(np.int64).ravel()), a["dim"])], ASKED)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
                 ids = np.frombuffer(b["ids"], "<i8")
-                own, floors = np.frombuffer(b["queries"], "<i8"), np.frombuffer(b["floors"], "<i8")
-                hits, _ = best_of(products(wide(b["asked"], b["dim"]), wide(b["vectors"], b["dim"])), ids, own, k, floors)
+                own, floors, places = (np.frombuffer(b[c], "<i8") for c in ("queries", "floors", "places"))
+                hits, _ = best_of(products(wide(b["asked"], b["dim"]), wide(b["vectors"], b["dim"])), ids, own, k, floors, b["home"], places)
                 yield columns(hits, HIT)
 
-    visits = asked.mapInArrow(plan, ASKED).select("block", "queries", "floors", F.col("vectors").alias("asked"))
+    visits = asked.mapInArrow(plan, ASKED).select("block", "home", "places", "queries", "floors", F.col("vectors").alias("asked"))
     hits = visits.join(index.select("block", "dim", "ids", "vectors"), "block").mapInArrow(scan, HIT)
     return hits if before is None else before.unionByName(hits).checkpoint()
 
