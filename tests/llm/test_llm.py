@@ -277,6 +277,26 @@ def test_given_pages(spark, sf):
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
 
 
+def test_articles_in_several_containers(spark):
+    long = " ".join(f"word{k}" for k in range(90))
+    short = " ".join(f"text{k}" for k in range(70))
+    nav = "<nav><a href=x>Menu</a></nav><div class=comments><article><p>Nice words of readers!</p></article></div>"
+    links = "<div class=more><a href=x>Another page</a> <a href=y>One more page</a></div>"
+    made = [
+        (f"{nav}<article><h1>Head</h1><div class=entry><p>{long}</p></div></article>", ["Head", long]),
+        (f"{nav}<div class=all><section class=intro><p>{short}</p></section><section class=body><p>{long}</p></section>{links}</div>", [short, long]),
+        (f"{nav}<div class=all><h1>Head</h1><section class=body><p>{long}</p></section></div>{links}", ["Head", long]),
+        (f"{nav}<div class='has-sidebar'><article><p>{long}</p></article><div class=sidebar>Side</div></div>", [long]),
+        (f"{nav}<div class='has-sidebar'><div id='content-sidebar-wrap'><main><p>{long}</p></main></div></div>", [long]),
+        (f"<p>Few</p><div class='content-sidebar-wrap'><div class=x><p>{long}</p></div></div>", ["Few", long]),
+        (f"<article><p>{short}</p></article><div class=sidebar><article>{long}</article></div>", [short]),
+        (f"<div class=x><p>{short}</p></div><div class=comments><p>{long}</p><p>{long}</p></div>", [short]),
+    ]
+    rows = [(k, f"http://h{k}.example/", f"<html><body>{page}</body></html>") for k, (page, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[k].split("\n\n") for k in range(len(made))] == [want for _, want in made]
+
+
 # ---- 5
 
 

@@ -5,10 +5,12 @@
 2. Each page votes for the path of its best container: tags and classes from the root on, with digits and generated names
    generalised. Spark sums the votes of each host.
 3. Every page is read again and the containers on its host's winning path give the text; a page without them falls back
-   on its own best container.
+   on its own best container. The text is that of the nearest article or main around them, or else also that of what
+   stands beside them at any level, except for lists of links.
 
 Dropped everywhere: menus, page headers (but not an article's headings), footers, sidebars, notices, adverts, forms,
-scripts, styles, hidden parts and reader comments, by tag, role, class or id.
+scripts, styles, hidden parts and reader comments, by tag, role, class or id. A class or id alone doesn't drop what holds
+the page's article or most of its text.
 
 Null or empty pages have an empty text. A null url is a host of its own. Repeated rows each vote and return their row.
 """
@@ -38,6 +40,8 @@ CLOSES_P = BLOCKS - set("caption dd dt legend option summary tbody td tfoot th t
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in classes and ids that mark what isn't article text; those of the second list mark headers.
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|side|rail|widgets?|footer|foot|comments?|commentlist|respond|repl(?:y|ies)|disqus|share|sharing|social|related|recommend(?:ed|ations?)?|newsletter|subscribe|signup|login|search|pagination|pager|hidden|skip|toolbar)(?:$|[\s_-])")
+#: Of these words, those that no wrapper of an article has.
+NO_WRAPPER = re.compile(r"(?:^|[\s_-])(?:cookies?|consent|gdpr|popup|comments?|commentlist|respond|repl(?:y|ies)|disqus|newsletter)(?:$|[\s_-])")
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])")
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
@@ -64,11 +68,35 @@ def label(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names[:3]])
 
 
+class Noise:
+    """What an element that its names mark as noise holds: text outside links, and tags of articles."""
+
+    def __init__(self, names: str):
+        self.names, self.chars, self.tags = names, 0, set()
+
+
 def read(page: str) -> tuple[list[Block], list[int], list[str]]:
     """The blocks of a page in order; for each container its parent (-1 for the root's) and its path."""
+    kept: set[int] = set()
+    while True:
+        blocks, parents, paths, noise, has_article = parse(page, kept)
+        if has_article or not noise:
+            return blocks, parents, paths
+        total = sum(x.chars for x in noise.values()) + sum(max(0, len(b.text) - b.links) for b in blocks)
+        more = {k for k, x in noise.items() if "main" in x.tags or not NO_WRAPPER.search(x.names) and (x.tags or 2 * x.chars > total)}
+        if not more:
+            return blocks, parents, paths
+        kept |= more
+
+
+def parse(page: str, kept: set[int]) -> tuple[list[Block], list[int], list[str], dict[int, Noise], bool]:
+    """What read() returns; the outermost elements skipped for their names, by place, but for those in kept; and whether
+    an article or main is not skipped."""
     blocks, parents, paths = [], [-1], [""]
-    stack: list[tuple[str, int, int, bool]] = []  # tag, container, 0 or 1 (skipped) or 2 (only headings), whether link
+    stack: list[tuple[str, int, int, bool, Noise | None]] = []  # tag, container, 0 or 1 (skipped) or 2 (only headings), whether link, noise
     container, skip, link = 0, 0, False
+    noise: dict[int, Noise] = {}
+    within, has_article = None, False
     parts: list[str] = []
     linked = 0
     heading = False
@@ -83,8 +111,8 @@ def read(page: str) -> tuple[list[Block], list[int], list[str]]:
         linked = 0
 
     def settle() -> None:
-        nonlocal container, skip, link, heading
-        container, skip, link = stack[-1][1:] if stack else (0, 0, False)
+        nonlocal container, skip, link, heading, within
+        container, skip, link, within = stack[-1][1:] if stack else (0, 0, False, None)
         heading = skip == 2 and any(s[0] in HEADINGS for s in stack[-4:])
 
     def pop_to(k: int) -> None:
@@ -101,6 +129,8 @@ def read(page: str) -> tuple[list[Block], list[int], list[str]]:
             parts.append(text)
             if link:
                 linked += len(text.strip())
+        elif within and not link:
+            within.chars += len(text.strip())
         if not found:
             break
         at = found.end()
@@ -142,24 +172,30 @@ def read(page: str) -> tuple[list[Block], list[int], list[str]]:
         if tag in VOID:
             continue
         attributes = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(found[3])} if MARKED.search(found[3]) else {}
-        own, kind = container, skip
+        own, kind, inner = container, skip, within
         if kind != 1 and (attributes or tag in SKIPPED or tag == "header"):
             names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().strip()
             if tag in SKIPPED or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "").lower()):
                 kind = 1
-            elif names and tag not in ("html", "body", "article", "main") and NOISE.search(names):
+            elif names and tag not in ("html", "body", "article", "main") and found.start() not in kept and NOISE.search(names):
                 kind = 1
+                inner = noise[found.start()] = Noise(names)
             elif tag == "header" or names and tag not in ("html", "body", "article", "main") and HEADER.search(names):
                 kind = 2 if any(s[0] in ("article", "main") for s in stack) else 1
         if tag in CONTAINERS:
             parents.append(container)
             paths.append(f"{paths[container]}>{label(tag, attributes)}")
             own = len(parents) - 1
-        stack.append((tag, own, kind, link or tag == "a"))
-        container, skip, link = own, kind, stack[-1][3]
+        if tag in ("article", "main"):
+            if kind != 1:
+                has_article = True
+            elif inner:
+                inner.tags.add(tag)
+        stack.append((tag, own, kind, link or tag == "a", inner))
+        container, skip, link, within = own, kind, stack[-1][3], inner
         heading = kind == 2 and any(s[0] in HEADINGS for s in stack[-4:])
     flush()
-    return blocks, parents, paths
+    return blocks, parents, paths, noise, has_article
 
 
 def best(blocks: list[Block], parents: list[int]) -> tuple[int, float]:
@@ -176,12 +212,28 @@ def best(blocks: list[Block], parents: list[int]) -> tuple[int, float]:
     return k, score[k] / sum(score.values())
 
 
-def inside(blocks: list[Block], parents: list[int], chosen: set[int]) -> str:
-    """Text of the blocks in the chosen containers or in containers inside these."""
+def inside(blocks: list[Block], parents: list[int], paths: list[str], chosen: set[int]) -> str:
+    """Text of the nearest article or main around each chosen container; where there is none, text of the container and
+    of what stands beside it at any level, except for lists of links."""
+    whole, around = set(), set()
+    for k in chosen:
+        up = k
+        while up > 0 and not re.match(r"(?:article|main)(?:\.|$)", paths[up].rpartition(">")[2]):
+            up = parents[up]
+        whole.add(up if up > 0 else k)
+        while up <= 0 < k:
+            k = parents[k]
+            around.add(k)
     within = [False] * len(parents)
+    beside = [-1] * len(parents)  # the outermost container that holds this one and no chosen one
     for k in range(len(parents)):
-        within[k] = k in chosen or (parents[k] >= 0 and within[parents[k]])
-    return "\n\n".join(b.text for b in blocks if within[b.container])
+        within[k] = k in whole or (parents[k] >= 0 and within[parents[k]])
+        if k and k not in around:
+            beside[k] = k if parents[k] in around else beside[parents[k]]
+    worth = Counter()
+    for b in blocks:
+        worth[beside[b.container]] += len(b.text) - 2 * b.links
+    return "\n\n".join(b.text for b in blocks if within[b.container] or (worth[beside[b.container]] > 0 if beside[b.container] >= 0 else b.container in around and len(b.text) > 2 * b.links))
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -218,10 +270,10 @@ def extract(pages: DataFrame) -> DataFrame:
             for page_id, url, page, winner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 blocks, parents, paths = read(page or "")
                 chosen = {k for k, p in enumerate(paths) if p == winner}
-                text, path = inside(blocks, parents, chosen), winner
+                text, path = inside(blocks, parents, paths, chosen), winner
                 if not text:
                     k, _ = best(blocks, parents)
-                    text, path = (inside(blocks, parents, {k}), paths[k]) if k else ("\n\n".join(b.text for b in blocks), "")
+                    text, path = (inside(blocks, parents, paths, {k}), paths[k]) if k else ("\n\n".join(b.text for b in blocks), "")
                 out.append((page_id, url, text, len(text), path))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], ["page_id", "url", "text", "n_chars", "path"])
