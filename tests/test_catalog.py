@@ -76,3 +76,11 @@ def test_shares_are_learned_in_order(spark):
     df = spark.createDataFrame(rows, "sent_id long, flag int, a double, b double")
     got = [r.shares for r in audits.learned_shares(df, "flag", ["a", "b"], 0.1).orderBy("sent_id").collect()]
     assert got[0] == pytest.approx([0.58, 0.42]) and got[1] == pytest.approx([0.52, 0.48]) and got[2] == pytest.approx(got[1])
+
+
+def test_learning_queries_have_all_columns(spark, sf):
+    from weft.operators import paths
+
+    weights = catalog.QUERIES["logreg_weights"](spark, sf).collect()
+    assert len(paths.PATHS) == 20 and {(r.fold, r.column) for r in weights} == {(k, f"f{c}") for k in range(4) for c in paths.PATHS}
+    assert {len(r.vector) for r in catalog.QUERIES["word2vec"](spark, sf).collect()} == {100}

@@ -731,16 +731,16 @@ def cosine_pairs(spark, sf):
 @query("logreg_weights")
 def logreg_weights(spark, sf):
     nodes, conflict, q = base(spark, sf)
-    feature = paths.features(nodes, lattice.compatible(nodes, conflict), CODES)
+    feature = paths.features(nodes, lattice.compatible(nodes, conflict), paths.PATHS)
     flags = flagged(spark, sf)
     rows = feature.join(flags.select("sent_id", F.col("node_id").alias("li"), F.col("flag").alias("f1")), ["sent_id", "li"]).join(flags.select("sent_id", F.col("node_id").alias("ri"), F.col("flag").alias("f2")), ["sent_id", "ri"]).withColumn("flag", F.col("f1") * F.col("f2"))
-    return learn.logistic_weights(learn.folds(rows, 4, ["sent_id", "li", "ri"]), [f"f{c}" for c in CODES], "flag")
+    return learn.logistic_weights(learn.folds(rows, 4, ["sent_id", "li", "ri"]), [f"f{c}" for c in paths.PATHS], "flag")
 
 
 @query("word2vec")
 def word2vec(spark, sf):
     sentences = s.gold(spark, sf).groupBy("sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "lemma"))), lambda x: x["lemma"]).alias("words"))
-    return learn.embeddings(sentences, "words", size=20)
+    return learn.embeddings(sentences, "words")
 
 
 # ---- audits and learning that go in order
