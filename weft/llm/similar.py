@@ -381,7 +381,7 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     runs = met.where("runs is not null").select("bucket", "runs")
     more = runs.groupBy("bucket").cogroup(rooted.groupBy("at")).applyInArrow(across, "a bigint, bs binary").checkpoint()
     if not more.isEmpty():
-        roots = components(links.unionByName(verify(texts, more, total, width, percent)))
+        roots = components(links.unionByName(verify(texts, more, total, width, percent).checkpoint()))
 
     named = classes.join(roots, F.col("k1") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("root", "k1").alias("root"))
     # Rows with equal doc_id are one node of the graph, and the smallest doc_id names a component.
