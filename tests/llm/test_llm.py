@@ -351,6 +351,37 @@ def test_null_ids_hide_no_copies(spark):
     assert out(similar.join(docs), "doc_id", "component_id") == sorted([(None, None), (7, 3), (None, None), (3, 3), (9, 9)], key=repr)
 
 
+def test_classes_that_share_half_a_hash_have_other_names():
+    hashes, sizes = similar.shingle_sets([b"a b c d e f", b"g h i j k", b""], 4)
+    first, second = (similar.set_hash(hashes, sizes, base) for base in similar.BASES)
+    got = similar.class_names(hashes, sizes, first[:1])
+    assert got.tolist() == [second[0], first[1], first[2]] and (similar.class_names(hashes, sizes, np.empty(0, np.int64)) == first).all()
+
+
+def test_pairs_of_busy_members_are_dealt_to_rows():
+    a, b = np.repeat([1, 2, 3], [5000, 3, 1024]), np.arange(5000 + 3 + 1024) + 10
+    rows = similar.hubs(a, b)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted((x, y) for x, bs in zip(rows["a"], rows["bs"], strict=True) for y in np.frombuffer(bs, np.int64).tolist())
+    assert len(set(zip(rows["a"], rows["salt"], strict=True))) == len(rows["a"]) and rows["a"].count(2) == rows["a"].count(3) == 1 and rows["a"].count(1) == 8
+
+
+def test_points_round_trip():
+    points = np.random.default_rng(1).integers(0, 200, (9, similar.DIMS)).astype(np.uint32)
+    points[3, 5] = 70_000
+    import pyarrow as pa
+
+    assert (similar.unpacked(pa.chunked_array([similar.packed(points)])) == points).all()
+
+
+def test_rows_that_share_an_id_join_components(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, two = " ".join(words), " ".join([*words[:59], "x"])
+    other = " ".join(f"v{k}" for k in range(30))
+    rows = [(5, one), (5, one), (5, other), (9, two), (8, other), (7, "something else that stands alone here")]
+    got = out(similar.join(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "component_id")
+    assert got == sorted([(5, 5), (5, 5), (5, 5), (9, 5), (8, 5), (7, 7)], key=repr)
+
+
 def test_least_linked_sets():
     for percent in (50, 75, 80, 85, 90, 99):
         n = similar.least_linked(percent)

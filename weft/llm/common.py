@@ -35,6 +35,18 @@ def run_id() -> str:
     return uuid.uuid4().hex[:12]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that prepare() has seen to."""
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a compressed table in the shared folder and read again: smaller than a checkpoint of long texts."""
+    path = f"{shared_folder(df.sparkSession)}/table-{run_id()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()

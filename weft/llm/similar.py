@@ -1,7 +1,7 @@
 """Exact similarity join of documents by the Jaccard similarity of their word n-grams.
 
 1. Documents with equal shingle sets are one class, found by a 128-bit hash of the set; what follows sees classes only
-   and knows each by half of its hash.
+   and knows each by half of its hash (by the other half where two classes share the first).
 2. Each class hashes its shingles into groups. Two sets whose similarity reaches the threshold differ in at most T
    shingles, and each of these spoils one group; of more than T groups at least one holds the same shingles in both. The
    keys of the groups' contents deal the classes to runs, the leaves in which partners can meet. (An R-tree over count
@@ -9,12 +9,13 @@
    nearly every leaf.)
 3. A class is also a point: the counts of its shingles in DIMS groups. Summed coordinate minima bound the overlap of two
    sets from above; pairs whose bound is too low are dropped. In long runs the points form an R-tree, whose boxes are
-   bounded the same way.
+   bounded the same way. Points move only to pairs and open runs, not with the keys.
 4. Surviving pairs are verified on the whole texts.
 
 Short runs give all their pairs. Long runs first give the pairs of one member with all others; once the links found so
 far have joined most members to components, they give only pairs across components. So copies aren't expanded into all
-pairs, and no link between different components is missed.
+pairs, and no link between different components is missed. Runs with the same members are one run, and each is dealt by
+itself.
 
 The number of groups depends on a set's size: sizes fall into bands such that partners are in the same or in adjacent
 bands, and a class takes part in its own band and in the one below. Groups that are empty for both of a pair would also
@@ -36,20 +37,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import SHARD_BYTES, as_bytes, mix64, pack, prepare, table, unpack, windows
+from weft.llm.common import SHARD_BYTES, as_bytes, mix64, pack, prepare, stored, table, unpack, windows
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 DIMS = 32
-#: Members of a run that gives all its pairs; bytes of text whose keys one bucket holds; partners of one member in one row.
-SHORT, BUCKET_BYTES, HUB = 8, 96 << 20, 4096
+#: Members of a run that gives all its pairs; bytes of text whose keys one bucket holds; partners of one member in one
+#: row (about); members of a long run in one row.
+SHORT, BUCKET_BYTES, HUB, CHUNK = 8, 48 << 20, 1024, 1 << 20
 LEAF = 16
-#: Cells of the table in which one task marks who meets whom in its long runs.
-TABLE = 1 << 26
+#: Members of open runs that one task looks at (a longer run has its own); cells that a search of one run tests at once.
+OPEN, TABLE = 1 << 18, 1 << 24
+#: Halves of hashes that several classes may share (at 1e12 classes about 27,000 do).
+SHARED = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-SIGNED = "doc_id bigint, n bigint, k1 bigint, k2 bigint"
-KEYS = "bucket int, keys binary, each binary, docs binary, sizes binary, points binary"
-MET = "a bigint, bs binary, bucket int, runs binary"
+SIGNED = "doc_id bigint, t bigint, n bigint, k1 bigint, k2 bigint, points binary"
+KEYS = "bucket int, keys binary, each binary, docs binary"
+PAIRS = "a bigint, salt int, bs binary"
+MET = f"{PAIRS}, run bigint, chunk int, members array<bigint>"
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +149,23 @@ def points_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(owner * DIMS + (hashes >> np.uint64(59)).astype(np.int64), minlength=len(sizes) * DIMS).reshape(-1, DIMS).astype(np.uint32)
 
 
+def packed(points: np.ndarray) -> list[bytes]:
+    """Each point in one byte a coordinate, or four where a count needs them."""
+    small, large = points.astype(np.uint8).tobytes(), points.astype("<u4").tobytes()
+    few = points.max(axis=1, initial=0) < 256
+    return [small[DIMS * k : DIMS * (k + 1)] if f else large[4 * DIMS * k : 4 * DIMS * (k + 1)] for k, f in enumerate(few.tolist())]
+
+
+def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    data = column.to_pylist()
+    out = np.empty((len(data), DIMS), np.uint32)
+    wide = np.array([len(x) > DIMS for x in data], bool)
+    for which, kind in ((~wide, np.uint8), (wide, "<u4")):
+        at = np.flatnonzero(which)
+        out[at] = np.frombuffer(b"".join([data[k] for k in at]), kind).reshape(-1, DIMS)
+    return out
+
+
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap of linked sets of these sizes."""
     return -(-percent * (a + b) // (100 + percent))
@@ -215,9 +237,10 @@ def pairs_in(lengths: np.ndarray, starts: np.ndarray, members: np.ndarray) -> tu
 
 
 def make(data: dict, schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     fields = [x.split(" ") for x in schema.split(", ")]
-    return pa.table([pa.array(data.get(n, ()), kinds[t]) for n, t in fields], [n for n, _ in fields])
+    n = max(map(len, data.values()), default=0)
+    return pa.table([pa.array(data[c], kinds[t]) if c in data else pa.nulls(n, kinds[t]) for c, t in fields], [c for c, _ in fields])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,11 +265,18 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def class_names(hashes: np.ndarray, sizes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The first half of each set's hash, or the second where the first is shared by several classes."""
+    names = set_hash(hashes, sizes, BASES[0])
+    twice = np.isin(names, shared) if len(shared) else np.zeros(len(names), bool)
+    return np.where(twice, set_hash(hashes, sizes, BASES[1]), names) if twice.any() else names
+
+
 def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; sets link from a similarity of percent / 100 on."""
     spark = documents.sparkSession
     prepare(spark)
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_buckets = -(-total // BUCKET_BYTES) or 1
 
@@ -254,42 +284,49 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         for batch in batches:
             for part in portions(batch):
                 hashes, sizes = shingle_sets(as_bytes(part.column(1)), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *(pa.array(set_hash(hashes, sizes, base)) for base in BASES)], ["doc_id", "n", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), *(pa.array(set_hash(hashes, sizes, base)) for base in BASES), pa.array(packed(points_of(hashes, sizes)), pa.binary())], ["doc_id", "t", "n", "k1", "k2", "points"])
 
     signed = docs.mapInArrow(sign, SIGNED).checkpoint()
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).checkpoint()
+    valid = signed.where("n > 0 and doc_id is not null")
+    least = F.min(F.struct("doc_id", "t")).alias("least")
+    classes = valid.groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("points").alias("points")).select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.t").alias("t"), "n", "points").checkpoint()
+    halves = [r[0] for r in classes.groupBy("k1").count().where("count > 1").select("k1").limit(SHARED + 1).collect()]
+    if len(halves) > SHARED:
+        raise RuntimeError(f"more than {SHARED} halves of hashes are shared by several classes")
+    node = F.when(F.col("k1").isin(halves), F.col("k2")).otherwise(F.col("k1")) if halves else F.col("k1")
+    classes = classes.withColumn("node", node)
+    shared = spark.sparkContext.broadcast(np.array(halves, np.int64))
+    # Rows that share a doc_id: usually none.
+    repeated = valid.groupBy("doc_id").agg(F.count("*").alias("rows"), *(f(F.xxhash64("k1", "k2")).alias(f.__name__) for f in (F.min, F.max))).where("rows > 1").checkpoint()
+    once = repeated.isEmpty()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, least = Bands(percent), least_linked(percent)
         for batch in batches:
             for part in portions(batch):
                 hashes, sizes = shingle_sets(as_bytes(part.column(1)), width)
-                names = set_hash(hashes, sizes, BASES[0])
+                names = class_names(hashes, sizes, shared.value)
                 may = np.flatnonzero((sizes >= least) & part.column(0).is_valid().to_numpy(zero_copy_only=False))
                 use = np.zeros(len(names), bool)  # copies inside a portion go once; rows without links don't stand for others
                 use[may[np.unique(names[may], return_index=True)[1]]] = True
                 hashes, names, sizes = hashes[np.repeat(use, sizes)], names[use], sizes[use]
                 key, owner = group_keys(hashes, sizes, bands)
-                points = points_of(hashes, sizes)
                 bucket = (key % np.uint64(n_buckets)).astype(np.int64)
                 short = (key >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 order = np.lexsort((owner, bucket))
-                out = {n: [] for n in ("bucket", "keys", "each", "docs", "sizes", "points")}
+                out = {n: [] for n in ("bucket", "keys", "each", "docs")}
                 for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
-                    docs, each = np.unique(owner[own], return_counts=True)
-                    for name, value in (("bucket", int(bucket[own[0]])), ("keys", short[own].tobytes()), ("each", pack(each)), ("docs", names[docs].tobytes()), ("sizes", pack(sizes[docs])), ("points", points[docs].tobytes())):
+                    members, each = np.unique(owner[own], return_counts=True)
+                    for name, value in (("bucket", int(bucket[own[0]])), ("keys", short[own].tobytes()), ("each", pack(each)), ("docs", names[members].tobytes())):
                         out[name].append(value)
                 yield from make(out, KEYS).to_batches()
 
     def meet(found: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(found["keys"].to_pylist()), np.uint8).reshape(-1, 5)
         key = sum(raw[:, k].astype(np.int64) << (8 * k) for k in range(5))
-        every = np.concatenate([np.frombuffer(x, np.int64) for x in found["docs"].to_pylist()])
-        ids, at, owner = np.unique(every, return_index=True, return_inverse=True)  # copies of other portions fall together
-        sizes = np.concatenate([unpack(x) for x in found["sizes"].to_pylist()]).astype(np.int64)[at]
-        each = np.concatenate([unpack(x) for x in found["each"].to_pylist()]).astype(np.int64)
-        points = np.frombuffer(b"".join(found["points"].to_pylist()), np.uint32).reshape(-1, DIMS)[at]
-        owner = np.repeat(owner, each)
+        every = np.frombuffer(b"".join(found["docs"].to_pylist()), np.int64)
+        ids, owner = np.unique(every, return_inverse=True)  # copies of other portions fall together
+        owner = np.repeat(owner, np.concatenate([unpack(x) for x in found["each"].to_pylist()]).astype(np.int64))
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         new = np.ones(len(key), bool)
@@ -299,105 +336,93 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         lengths = np.diff(np.append(starts, len(key)))
         a, b = pairs_in(lengths, starts, owner)
         code = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
-        a, b = code // max(1, len(ids)), code % max(1, len(ids))
-        ok = np.minimum(sizes[a], sizes[b]) * 100 >= percent * np.maximum(sizes[a], sizes[b])
-        a, b = a[ok], b[ok]
-        ok = may_link(points, sizes, a, b, percent)
-        a, b = a[ok], b[ok]
-        out = hubs(ids[a], ids[b])
-        # Long runs go along for the second round: the bucket's runs in one row, and their members, each once.
-        far = np.repeat(lengths, lengths) > SHORT
-        members, place = np.unique(owner[far], return_inverse=True)
-        if len(members):
-            bucket = found["bucket"][0].as_py()
-            out["a"] += ids[members].tolist()
-            out["bs"] += [None] * len(members)
-            out["bucket"] += [bucket] * (len(members) + 1)
-            out["a"].append(None)
-            out["bs"].append(None)
-            long = lengths[lengths > SHORT]
-            out["runs"] = [None] * (len(out["a"]) - 1) + [b"".join((np.array([len(members), len(long), len(place)], np.int64).tobytes(), ids[members].tobytes(), sizes[members].tobytes(), long.tobytes(), place.astype(np.int64).tobytes(), points[members].tobytes()))]
-        else:
-            out["runs"] = [None] * len(out["a"])
-        return make(out, MET)
-
+        pairs = make(hubs(ids[code // max(1, len(ids))], ids[code % max(1, len(ids))]), MET)
+        # Long runs go along for the second round, each once.
+        runs: dict[int, np.ndarray] = {}
+        for s, n in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+            members = ids[owner[s : s + n]]
+            runs.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63), members)
+        chunks = [(run, c, members[c * CHUNK : (c + 1) * CHUNK]) for run, members in runs.items() for c in range(-(-len(members) // CHUNK))]
+        return pa.concat_tables([pairs, make({"run": [x for x, _, _ in chunks], "chunk": [x for _, x, _ in chunks], "members": [x for _, _, x in chunks]}, MET)])
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        """node, text: one text of each class, moved from the documents and written in the shared folder."""
+        asked = nodes.join(classes.select("node", "rep", F.col("t").alias("own")), "node")
+        found = docs.join(asked, (F.col("doc_id") == F.col("rep")) & (F.col("t") == F.col("own"))).select("node", "text")
+        return stored(found if once else found.groupBy("node").agg(F.first("text").alias("text")))
+
+    parts = parts_of(total)
+    points = classes.select("node", F.col("n").alias("size"), "points")
     met = docs.mapInArrow(keys, KEYS).groupBy("bucket").applyInArrow(meet, MET).checkpoint()
-    pairs = met.where("bs is not null").select("a", "bs")
-    members = met.where("a is not null and bs is null").select((F.col("bucket") + 0).alias("at"), F.col("a").alias("node"))
-
-    # The texts of classes that have candidates, moved once; both rounds verify on them.
-    asked = spread(pairs.withColumn("v", F.pmod(F.xxhash64("a"), F.lit(parts_of(total))).cast("int"))).select("node").unionByName(members.select("node")).distinct()
-    asked = asked.join(classes.select(F.col("k1").alias("node"), "rep", F.col("n").alias("size")), "node").groupBy("rep").agg(F.collect_list(F.struct("node", "size")).alias("asked"))
-    texts = docs.join(asked, F.col("doc_id") == F.col("rep")).select("asked", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows with equal doc_id may have different texts: the one with the class's set is sent.
-        for batch in batches:
-            hashes, sizes = shingle_sets(as_bytes(batch.column(1)), width)
-            names = set_hash(hashes, sizes, BASES[0]).tolist()
-            at = [k for k, wanted in enumerate(batch.column(0).to_pylist()) if any(w["node"] == names[k] for w in wanted)]
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.int64()), batch.column(1).take(pa.array(at, pa.int64()))], ["node", "text"])
-
-    texts = texts.mapInArrow(own, "node bigint, text string").checkpoint()
-    links = verify(texts, pairs, total, width, percent).checkpoint()
+    pairs = bounded(points, met.where("bs is not null").select("a", "salt", "bs"), parts, percent).checkpoint()
+    texts = fetch(spread(placed(pairs, parts)).select("node").distinct())
+    links = verify(texts, pairs, parts, width, percent).checkpoint()
     roots = components(links)
 
     # Long runs whose members the links so far leave in several components.
-    rooted = members.join(roots, "node", "left").select("at", "node", F.coalesce("root", "node").alias("root"))
-
-    def across(found: pa.Table, rooted: pa.Table) -> pa.Table:
-        out = hubs(np.empty(0, np.int64), np.empty(0, np.int64))
-        for data in found["runs"].to_pylist():
-            n, n_runs, n_places = np.frombuffer(data, np.int64, 3)
-            ids, sizes, lengths, places = np.split(np.frombuffer(data, np.int64, 2 * n + n_runs + n_places, offset=24), np.cumsum([n, n, n_runs]))
-            points = np.frombuffer(data, np.uint32, offset=24 + 8 * (2 * n + n_runs + n_places)).reshape(-1, DIMS)
-            names = rooted["node"].to_numpy()
-            order = np.argsort(names, kind="stable")
-            root = rooted["root"].to_numpy()[order][np.searchsorted(names[order], ids)]
-            starts = np.cumsum(lengths) - lengths
-            low, high = np.minimum.reduceat(root[places], starts), np.maximum.reduceat(root[places], starts)
-            runs = [places[s : s + k] for s, k in zip(starts[low != high].tolist(), lengths[low != high].tolist(), strict=True)]
-            # In each run, members outside its largest component meet all members of other components.
-            minor = []
-            for r in runs:
-                own, count = np.unique(root[r], return_counts=True)
-                minor.append(r[root[r] != own[count.argmax()]])
-            asking = np.unique(np.concatenate(minor)) if minor else np.empty(0, np.int64)
-            tree = CountTree(points, sizes, percent) if len(asking) else None
-            step = max(1, TABLE // max(1, int(n)))
-            for at in range(0, len(asking), step):
-                block = asking[at : at + step]
-                meet = np.zeros((len(block), n), bool)
-                for r, m in zip(runs, minor, strict=True):
-                    rows = np.searchsorted(block, m[(m >= block[0]) & (m <= block[-1])])
-                    if len(rows):
-                        meet[np.ix_(rows, r)] = True
-                q, near = tree.search(block)
-                keep = meet[np.searchsorted(block, q), near] & (root[near] != root[q])
-                for name, values in hubs(ids[q[keep]], ids[near[keep]]).items():
-                    out[name] += values
-        return make({"a": out["a"], "bs": out["bs"]}, "a bigint, bs binary")
-
-    runs = met.where("runs is not null").select("bucket", "runs")
-    more = runs.groupBy("bucket").cogroup(rooted.groupBy("at")).applyInArrow(across, "a bigint, bs binary").checkpoint()
-    if not more.isEmpty():
-        roots = components(links.unionByName(verify(texts, more, total, width, percent).checkpoint()))
-
-    named = classes.join(roots, F.col("k1") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("root", "k1").alias("root"))
+    runs = met.where("members is not null").dropDuplicates(["run", "chunk"]).select("run", F.explode("members").alias("node"))
+    rooted = runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")).checkpoint()
+    is_open = rooted.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").checkpoint()
+    n_open = is_open.agg(F.sum("n")).first()[0] or 0
+    if n_open:
+        part = F.pmod(F.xxhash64("run"), F.lit(-(-n_open // OPEN))).alias("part")
+        asked = rooted.join(is_open.select("run"), "run").join(points, "node").select(part, "run", "node", "root", "size", "points")
+        more = asked.groupBy("part").applyInArrow(lambda found: across(found, percent), PAIRS).checkpoint()
+        lacking = spread(placed(more, parts)).select("node").distinct().join(texts.select("node"), "node", "left_anti")
+        both = texts.unionByName(fetch(lacking))
+        roots = components(links.unionByName(verify(both, more, parts, width, percent).checkpoint()))
+
+    roots = classes.join(roots, "node", "left").select("k1", "k2", "rep", F.coalesce("root", "node").alias("root"))
     # Rows with equal doc_id are one node of the graph, and the smallest doc_id names a component.
-    named = one_per_id(signed, named)
+    named = one_per_id(signed, roots, None if once else repeated.where("min <> max").select("doc_id"))
     return signed.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def one_per_id(signed: DataFrame, named: DataFrame) -> DataFrame:
-    """k1, k2, component: the smallest doc_id of each root's classes, roots that share a doc_id being one."""
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(least, "root").select("k1", "k2", "component")
-    several = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("k1", "k2").alias("sets")).where("sets > 1").select("doc_id").checkpoint()
-    if several.isEmpty():
+def across(found: pa.Table, percent: int) -> pa.Table:
+    """Pairs (a, bs) of open runs: members outside a run's largest component with all members of other components."""
+    run, node, root, sizes = (found[c].to_numpy() for c in ("run", "node", "root", "size"))
+    points = unpacked(found["points"])
+    order = np.lexsort((node, run))
+    edges = np.flatnonzero(np.diff(run[order])) + 1
+    firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for r in np.split(order, edges):
+        own, count = np.unique(root[r], return_counts=True)
+        minor = np.flatnonzero(root[r] != own[count.argmax()])
+        tree = CountTree(points[r], sizes[r], percent) if len(r) > 4 * LEAF else None
+        step = max(1, TABLE // len(r))
+        for at in range(0, len(minor), step):
+            block = minor[at : at + step]
+            if tree:
+                q, near = tree.search(block)
+            else:
+                q, near = np.repeat(block, len(r)), np.tile(np.arange(len(r)), len(block))
+                ok = may_link(points[r].astype(np.int64), sizes[r], q, near, percent)
+                q, near = q[ok], near[ok]
+            q, near = r[q], r[near]
+            keep = root[near] != root[q]
+            firsts.append(np.minimum(node[q[keep]], node[near[keep]]))
+            seconds.append(np.maximum(node[q[keep]], node[near[keep]]))
+    return make(hubs(*distinct(np.concatenate(firsts), np.concatenate(seconds))), PAIRS)
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def one_per_id(signed: DataFrame, roots: DataFrame, several: DataFrame | None) -> DataFrame:
+    """k1, k2, component: the smallest doc_id of each root's classes, roots that share one of several doc_ids being one."""
+    least = roots.groupBy("root").agg(F.min("rep").alias("component"))
+    named = roots.join(least, "root").select("k1", "k2", "component")
+    if several is None or several.isEmpty():
         return named
-    shared = signed.where("n > 0").join(several, "doc_id").join(named, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set("component").alias("all"))  # a doc_id's few rows
-    links = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+    # A doc_id may have many rows: each hangs on the least of its components, which map-side minima find.
+    shared = signed.where("n > 0").select("doc_id", "k1", "k2").distinct().join(several, "doc_id").join(named, ["k1", "k2"]).select("doc_id", "component").distinct()
+    first = shared.groupBy("doc_id").agg(F.min("component").alias("a"))
+    links = shared.join(first, "doc_id").select("a", F.col("component").alias("b"))
     joined = components(links).select(F.col("node").alias("component"), F.col("root").alias("first"))
     return named.join(joined, "component", "left").select("k1", "k2", F.coalesce("first", "component").alias("component"))
 
@@ -420,15 +445,37 @@ def set_hash(hashes: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
 
 
 def hubs(a: np.ndarray, b: np.ndarray) -> dict:
-    """Pairs by their first member, whose partners go in one row."""
+    """Pairs by their first member, whose partners go in one row; those of a busy member are dealt to several rows, which
+    its salts tell apart."""
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
     edges = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
-    return {"a": a[edges].tolist(), "bs": [x.tobytes() for x in np.split(b, edges[1:])] if len(a) else [], "bucket": [None] * len(edges)}
+    out: dict[str, list] = {"a": [], "salt": [], "bs": []}
+    for first, own in zip(a[edges].tolist(), np.split(b, edges[1:]) if len(a) else (), strict=True):
+        pieces = 1
+        while pieces * HUB < len(own):
+            pieces *= 2
+        deal = (mix64(own.view(np.uint64)) & np.uint64(pieces - 1)).astype(np.int64)
+        for k in range(pieces):
+            out["a"].append(first)
+            out["salt"].append(0 if pieces == 1 else pieces + k)
+            out["bs"].append((own if pieces == 1 else own[deal == k]).tobytes())
+    return out
+
+
+def pairs_of(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of rows made by hubs()."""
+    each = [np.frombuffer(x, np.int64) for x in found["bs"].to_pylist()]
+    return distinct(np.repeat(found["a"].to_numpy(), [len(x) for x in each]), np.concatenate([*each, np.empty(0, np.int64)]))
 
 
 def parts_of(total: int) -> int:
-    return max(1, -(-total // (2 * SHARD_BYTES)))
+    return max(1, -(-total // SHARD_BYTES))
+
+
+def placed(pairs: DataFrame, parts: int) -> DataFrame:
+    """Pairs with the part, v, in which they are looked at: by the first member, a busy one's rows each by itself."""
+    return pairs.select("a", "salt", "bs", F.pmod(F.xxhash64("a", "salt"), F.lit(parts)).cast("int").alias("v"))
 
 
 def spread(placed: DataFrame) -> DataFrame:
@@ -441,22 +488,37 @@ def spread(placed: DataFrame) -> DataFrame:
     return placed.groupBy("v").applyInArrow(run, "v int, node bigint")
 
 
-def verify(texts: DataFrame, pairs: DataFrame, total: int, width: int, percent: int) -> DataFrame:
-    """The pairs (a, each of bs) that link. Texts go to parts by the pair's first member, a busy one's rows to several."""
-    salt = F.when(F.octet_length("bs") > 8 * HUB, F.xxhash64("bs")).otherwise(F.lit(0))
-    placed = pairs.select("a", "bs", F.pmod(F.xxhash64("a", salt), F.lit(parts_of(total))).cast("int").alias("v")).checkpoint()
-    sent = spread(placed).join(texts, "node").select((F.col("v") + 0).alias("part"), "node", "text")
+def bounded(points: DataFrame, pairs: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The pairs (a, bs) whose summed coordinate minima leave room for a link, each once in its part."""
+    dealt = placed(pairs, parts)
+    sent = spread(dealt).join(points, "node").select((F.col("v") + 0).alias("part"), "node", "size", "points")
+
+    def check(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        nodes, sizes = members["node"].to_numpy(), members["size"].to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        nodes, sizes, own = nodes[order], sizes[order], unpacked(members["points"])[order]
+        a, b = pairs_of(pairs)
+        x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+        ok = may_link(own, sizes, x, y, percent)
+        return make(hubs(a[ok], b[ok]), PAIRS)
+
+    return dealt.groupBy("v").cogroup(sent.groupBy("part")).applyInArrow(check, PAIRS)
+
+
+def verify(texts: DataFrame, pairs: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
+    """The pairs (a, each of bs) that link, judged on whole texts."""
+    dealt = placed(pairs, parts)
+    sent = spread(dealt).join(texts, "node").select((F.col("v") + 0).alias("part"), "node", "text")
 
     def check(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         hashes, sizes = shingle_sets(as_bytes(texts["text"]), width)
         ends = np.cumsum(sizes)
         of = {i: hashes[s:e] for i, s, e in zip(texts["node"].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True)}
-        found = set()
-        for a, bs in zip(pairs["a"].to_pylist(), pairs["bs"].to_pylist(), strict=True):
-            found |= {(a, b) for b in np.frombuffer(bs, np.int64).tolist() if (a, b) not in found and linked(of[a], of[b], percent)}
+        a, b = pairs_of(pairs)
+        found = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if linked(of[x], of[y], percent)]
         return make({"a": [x for x, _ in found], "b": [y for _, y in found]}, "a bigint, b bigint")
 
-    return placed.groupBy("v").cogroup(sent.groupBy("part")).applyInArrow(check, "a bigint, b bigint")
+    return dealt.groupBy("v").cogroup(sent.groupBy("part")).applyInArrow(check, "a bigint, b bigint")
 
 
 def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
