@@ -47,6 +47,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: the given one, with underscores in front where it is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()

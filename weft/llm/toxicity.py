@@ -11,8 +11,10 @@
    probability.
 
 Nulls and empty texts have no passage and get the score of such texts. Repeated rows each return their row. Several
-labels of one document count as toxic if any is; null labels are no labels. Without labels of both kinds every score is
-the share of toxic labels (0 without labels).
+labels of one document count as toxic if any is; null labels, and labels of documents that aren't there, are no labels.
+Where the labelled documents aren't of both kinds there is nothing to learn: every score is 1 if all are toxic, else 0.
+Texts of any length are scored whole; what a fit sends to the driver is the lexicon, sums by value and three numbers for
+each text of the sample.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import as_bytes, prepare, table
+from weft.llm.common import as_bytes, prepare, stored, table
 from weft.llm.decontaminate import words_of
 
 #: Labelled documents that the model is fitted on at most (those with the smallest hash of their ids).
 SAMPLE = 20_000
-#: Tokens and prefixes in the lexicon at most, and how many standard errors their log-odds stand out.
-TERMS, Z = 200_000, 3.3
+#: How many standard errors the log-odds of the lexicon's tokens and prefixes stand out. The lexicon needs no limit of its
+#: own: an entry stands in several toxic texts of the sample.
+Z = 3.3
 PREFIX, DRIFT, TOP = 5, 0.5, 6.0
 ALPHA = 0.05
+#: Scores of segments in clean text are counted by tenths up to here; higher ones count as this.
+TALLEST = 60.0
 #: Weight of the Dirichlet priors of prefixes and of tokens.
 PRIOR_PREFIX, PRIOR_TOKEN = 4.0, 2.0
 #: From this probability on a document is called toxic.
@@ -133,9 +138,9 @@ def count_terms(train: DataFrame) -> DataFrame:
     return counted.groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def lexicon(train: DataFrame, share: float) -> Model:
-    """The tokens and prefixes whose log-odds stand out; share: of toxic documents."""
-    words = count_terms(train.groupBy("text").agg(F.max("toxic").alias("toxic"))).checkpoint()  # copies would lend their words weight
+def lexicon(texts: DataFrame, share: float) -> Model:
+    """The tokens and prefixes whose log-odds stand out; texts: text, toxic, each text once; share: of toxic ones."""
+    words = count_terms(texts).checkpoint()
     base = math.log(share / (1 - share))
 
     def odds(toxic, clean, prior, weight):
@@ -148,42 +153,62 @@ def lexicon(train: DataFrame, share: float) -> Model:
     stems = stems.withColumn("prior", (F.col("t") + share * PRIOR_PREFIX) / (F.col("t") + F.col("c") + PRIOR_PREFIX)).withColumn("value", own).withColumn("z", z)
     value, z = odds(F.col("toxic"), F.col("clean"), F.col("prior"), F.lit(PRIOR_TOKEN))
     ranked = words.where("toxic > 0").join(stems.select("stem", "prior"), "stem").select("word", value.alias("value"), z.alias("z"))
-    best = lambda df: df.where(F.col("z") >= Z).orderBy(F.desc("z"), df.columns[0]).limit(TERMS).collect()
-    return Model({bytes(r[0]): min(TOP, r[1]) for r in best(ranked)}, {bytes(r[0]): min(TOP, r[1]) for r in best(stems.select("stem", "value", "z"))})
+    best = lambda df: {bytes(r[0]): min(TOP, r[1]) for r in df.where(F.col("z") >= Z).orderBy(df.columns[0]).collect()}
+    return Model(best(ranked), best(stems.select("stem", "value", "z")))
 
 
-def training(documents: DataFrame, labels: DataFrame, held_out, sample: int) -> tuple[DataFrame, int, int]:
-    """text, toxic of the labelled documents to learn from, and how many are toxic and clean."""
-    picked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    picked = picked.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).checkpoint()
-    n = {r[0]: r[1] for r in picked.groupBy("toxic").count().collect()}
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), n.get(1, 0), n.get(0, 0)
+def training(documents: DataFrame, labels: DataFrame, held_out, sample: int) -> DataFrame:
+    """text, toxic of the rows to learn from: those of at most `sample` labelled documents, found by a hash of their ids."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    picked = known.where(~held_out).join(documents.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).checkpoint()
+    return stored(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> Model:
     """Learns from at most `sample` labelled documents for which held_out (a column of doc_id) is false."""
-    prepare(documents.sparkSession)
-    train, toxic, clean = training(documents, labels, held_out, sample)
-    if not toxic or not clean:
+    spark = documents.sparkSession
+    prepare(spark)
+    train = training(documents, labels, held_out, sample)
+    texts = train.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies would lend their words weight
+    n = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
+    if len(n) < 2:
         model = Model({}, {})
-        model.weights[0] = 30.0 if toxic else -30.0
+        model.weights[0] = 30.0 if 1 in n else -30.0
         return model
-    model = lexicon(train, toxic / (toxic + clean))
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    model = lexicon(texts, n[1] / (n[0] + n[1]))
+    calibrate(model, train)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         for batch in batches:
-            out = []
-            for values, kind in zip(sent.value.values(as_bytes(batch.column(0))), batch.column(1).to_pylist(), strict=True):
-                hits = np.round(values[values > 0], 1)
-                out.append((kind, len(values), [s for *_, s in segments(values)], hits.tolist()))
-            kinds, n, scores, hits = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(hits, pa.list_(pa.float64()))], ["toxic", "n", "scores", "hits"])
-
-    rows = train.mapInArrow(run, "toxic int, n bigint, scores array<double>, hits array<double>").collect()
-    n = sum(r.n for r in rows if not r.toxic) + 1
+            x = [m.features(segments(v), len(v)) for v in m.values(as_bytes(batch.column(0)))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[k] for r in x], pa.float64()) for k in range(3))], ["toxic", "a", "b", "c"])
+
+    rows = np.array([tuple(r) for r in train.mapInArrow(run, "toxic int, a double, b double, c double").collect()])
+    x = rows[:, 1:]
+    model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    model.weights = fit_logistic((x - model.mean) / model.spread, rows[:, 0])
+    return model
+
+
+def calibrate(model: Model, train: DataFrame) -> None:
+    """Sets lambda and K from clean texts, whose values and segments every task sums first."""
+    sent = train.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for values in sent.value.values(as_bytes(batch.column(0))):
+                seen["words", 0.0] += len(values)
+                seen.update(("hit", v) for v in np.round(values[values > 0], 1).tolist())
+                seen.update(("segment", min(TALLEST, round(x, 1))) for *_, x in segments(values))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.float64()), pa.array(list(seen.values()), pa.int64())], ["kind", "value", "n"])
+
+    sums = train.where("toxic = 0").select("text").mapInArrow(run, "kind string, value double, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")).collect()
+    n = sum(r.n for r in sums if r.kind == "words") + 1
     # Positive values in clean texts; half a token of the mean value stands for those not yet seen there.
-    values = Counter(v for r in rows if not r.toxic for v in r.hits)
+    values = Counter({r.value: float(r.n) for r in sums if r.kind == "hit"})
     values[float(np.mean(list(model.words.values()) or [1.0]))] += 0.5
     v, c = np.array(list(values), float), np.array(list(values.values()), float)
     low, high = 1e-6, 20.0
@@ -192,13 +217,9 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE)
         total = (c * np.exp(mid * v)).sum() / n + (1 - c.sum() / n) * math.exp(-mid * DRIFT)
         low, high = (mid, high) if total < 1 else (low, mid)
     model.rate = low
-    at = float(np.median(v))
-    seen = sum(s >= at for r in rows if not r.toxic for s in r.scores) + 0.5
+    at = round(float(np.median(v)), 1)
+    seen = sum(r.n for r in sums if r.kind == "segment" and r.value >= at) + 0.5
     model.scale = seen / (n * math.exp(-low * at))
-    x = np.array([model.features([(0, 0, s) for s in r.scores], r.n) for r in rows]).reshape(len(rows), 3)
-    model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = fit_logistic((x - model.mean) / model.spread, np.array([r.toxic for r in rows], float))
-    return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
