@@ -10,9 +10,10 @@
 
 Dropped everywhere: menus, page headers (but not an article's headings), footers, sidebars, notices, adverts, forms,
 scripts, styles, hidden parts and reader comments, by tag, role, class or id. A class or id alone doesn't drop what holds
-the page's article or most of its text.
+the page's article or most of its text, nor does a form around the whole page.
 
-Null or empty pages have an empty text. A null url is a host of its own. Repeated rows each vote and return their row.
+Null or empty pages have an empty text. Unbalanced quotes and tags end where the page ends or an outer tag does; pages of
+any length are read whole. A null url is a host of its own. Repeated rows each vote and return their row.
 """
 
 from __future__ import annotations
@@ -45,7 +46,10 @@ NO_WRAPPER = re.compile(r"(?:^|[\s_-])(?:cookies?|consent|gdpr|popup|comments?|c
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])")
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A tag ends at the first > outside quotes, or at the first of all where quotes don't close.
+TAG = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: Text from which on a form that holds most of a page's text is a wrapper.
+FORM_CHARS = 200
 #: Attributes that matter here.
 MARKED = re.compile(r"(?:^|[\s\"'])(?:class|id|role|hidden|aria-hidden|style)\b", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -65,14 +69,21 @@ class Block:
 def label(tag: str, attributes: dict[str, str]) -> str:
     """A step of a path: the tag and its classes, without what differs from page to page."""
     names = sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").lower().split() if not re.search(r"\d.*[a-z].*\d|[0-9a-f]{8}", c)})
-    return ".".join([tag, *names[:3]])
+    return ".".join([tag, *names])
 
 
 class Noise:
-    """What an element that its names mark as noise holds: text outside links, and tags of articles."""
+    """What a form, or an element that its names mark as noise, holds: text outside links, tags of articles, paragraphs
+    and headings."""
 
-    def __init__(self, names: str):
-        self.names, self.chars, self.tags = names, 0, set()
+    def __init__(self, names: str, form: bool = False):
+        self.names, self.form, self.chars, self.tags, self.paragraphs = names, form, 0, set(), 0
+
+    def wraps(self, total: int) -> bool:
+        """Whether it is only a wrapper of the article of a page with so much text."""
+        if self.tags:
+            return "main" in self.tags or not NO_WRAPPER.search(self.names)
+        return 2 * self.chars > total and not NO_WRAPPER.search(self.names) and (not self.form or self.paragraphs > 0 and self.chars >= FORM_CHARS)
 
 
 def read(page: str) -> tuple[list[Block], list[int], list[str]]:
@@ -83,7 +94,7 @@ def read(page: str) -> tuple[list[Block], list[int], list[str]]:
         if has_article or not noise:
             return blocks, parents, paths
         total = sum(x.chars for x in noise.values()) + sum(max(0, len(b.text) - b.links) for b in blocks)
-        more = {k for k, x in noise.items() if "main" in x.tags or not NO_WRAPPER.search(x.names) and (x.tags or 2 * x.chars > total)}
+        more = {k for k, x in noise.items() if x.wraps(total)}
         if not more:
             return blocks, parents, paths
         kept |= more
@@ -113,7 +124,7 @@ def parse(page: str, kept: set[int]) -> tuple[list[Block], list[int], list[str],
     def settle() -> None:
         nonlocal container, skip, link, heading, within
         container, skip, link, within = stack[-1][1:] if stack else (0, 0, False, None)
-        heading = skip == 2 and any(s[0] in HEADINGS for s in stack[-4:])
+        heading = skip == 2 and any(s[0] in HEADINGS for s in stack)
 
     def pop_to(k: int) -> None:
         if any(s[0] in BLOCKS for s in stack[k:]):
@@ -175,7 +186,10 @@ def parse(page: str, kept: set[int]) -> tuple[list[Block], list[int], list[str],
         own, kind, inner = container, skip, within
         if kind != 1 and (attributes or tag in SKIPPED or tag == "header"):
             names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().strip()
-            if tag in SKIPPED or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "").lower()):
+            if tag == "form" and found.start() not in kept:
+                kind = 1
+                inner = noise[found.start()] = Noise(names, form=True)
+            elif tag in SKIPPED and tag != "form" or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "").lower()):
                 kind = 1
             elif names and tag not in ("html", "body", "article", "main") and found.start() not in kept and NOISE.search(names):
                 kind = 1
@@ -191,9 +205,11 @@ def parse(page: str, kept: set[int]) -> tuple[list[Block], list[int], list[str],
                 has_article = True
             elif inner:
                 inner.tags.add(tag)
+        elif inner and kind == 1 and (tag == "p" or tag in HEADINGS):
+            inner.paragraphs += 1
         stack.append((tag, own, kind, link or tag == "a", inner))
         container, skip, link, within = own, kind, stack[-1][3], inner
-        heading = kind == 2 and any(s[0] in HEADINGS for s in stack[-4:])
+        heading = kind == 2 and any(s[0] in HEADINGS for s in stack)
     flush()
     return blocks, parents, paths, noise, has_article
 
