@@ -699,14 +699,75 @@ def test_queries_with_sql(name, spark, sf):
     assert out(df, *df.columns) == sorted(theirs, key=repr)
 
 
+def edge_documents(spark, rows):
+    """Documents with nulls in every column, empty and very long texts, repeats and columns with clashing names."""
+    made = [(i, t, lang, source, None if t is None else len(t)) for i, t, lang, source in rows]
+    made += [(None, rows[0][1], "en", "s0", 5), (None, None, None, None, None), (200, "", None, None, None), (200, "", None, None, None)]
+    df = spark.createDataFrame(made, SCHEMA + ", n_chars bigint")
+    return df.withColumns({c: F.lit("x") for c in (*CLASHING, "__key", "__place", "taken", "passes", "__work")})
+
+
+def test_stages_on_edge_rows(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    bench = [(1, " ".join(rows[1][1].split()[:13])), (None, "alpha"), (2, None), (3, "")]
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(10**9, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = edge_documents(spark, rows).repartition(3).cache()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns[: len(docs.columns)] == docs.columns
+        assert got.select("found", "passes", "`__key`").distinct().collect() == [("x", "x", "x")]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        ids = [r.doc_id for r in got.select("doc_id").collect()]
+        if name in ("toxicity", "personal_data", "mixing"):
+            assert sorted(ids, key=repr) == sorted((r.doc_id for r in docs.select("doc_id").collect()), key=repr)
+        if name == "personal_data":
+            assert sorted((r.text for r in got.select("text").collect()), key=repr) == sorted((r.text for r in docs.select("text").collect()), key=repr)
+        if name == "decontamination":
+            hit = {i for i, _, n_hit, *_ in brute_hits(rows, bench) if n_hit}
+            assert 1 in hit  # and with it the row without a doc_id that has the same text
+            assert sorted(ids, key=repr) == sorted([r.doc_id for r in docs.select("doc_id").collect() if r.doc_id is not None and r.doc_id not in hit] + [None], key=repr)
+        if name == "near_duplicates":
+            sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := SPACE.findall(lower(t or ""))) else set() for i, t, *_ in rows}
+            root = {i: i for i in sets}
+            for _ in sets:
+                for a in sets:
+                    for b in sets:
+                        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                            root[a] = root[b] = min(root[a], root[b])
+            want = [i for i in sets if root[i] == i] + [None, None, 200, 200]
+            assert sorted(ids, key=repr) == sorted(want, key=repr)
+    mixed = mixing.corpus(docs)
+    total = sum(r["_size"] for r in mixed.collect())
+    assert all(r["_taken"] == r["_passes"] * r["_size"] and r["_size"] == len(SPACE.findall(r.text or "")) for r in mixed.collect()) and sum(r["_taken"] for r in mixed.collect()) <= 1.5 * total
+
+
+def test_stages_drop_short_benchmark_passages(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = [f"p{k}" for k in range(13)]
+    long = [f"w{k}" for k in range(4000)]
+    docs = spark.createDataFrame([(1, " ".join(long[:2000] + passage + long[2000:])), (2, " ".join(long)), (3, " ".join(passage[:12]))], "doc_id bigint, text string")
+    spark.createDataFrame([(5, " ".join(passage))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2, 3]
+
+
 def test_pipeline(spark, sf):
+    import os
+
     import corpus_pipeline
 
     docs = common.table(spark, sf, "documents")
-    sizes = {}
+    sizes, kept = {}, {}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf).cache()
         sizes[name] = docs.count()
+        kept[name] = docs
         if name != "mixing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert 100 < sizes["mixing"] == sizes["personal_data"] == sizes["decontamination"] <= sizes["near_duplicates"] <= sizes["toxicity"] < 200
+    got = corpus_pipeline.run(spark, sf)
+    assert out(got, "doc_id", "text", "taken") == out(kept["mixing"], "doc_id", "text", "taken")
+    left = [d for d in os.listdir(common.shared_folder(spark).removeprefix("file:")) if d.startswith("table-")]
+    assert not left

@@ -17,13 +17,17 @@ SHARD_BYTES = 8 << 20
 def prepare(spark: SparkSession) -> None:
     """Sizes Arrow batches by bytes, and sees to a checkpoint folder.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary one is made.
+    The folder is the one that the cluster names in spark.checkpoint.dir. Where that is unset, a session on one machine
+    (local tests) gets a temporary one; on a cluster, whose executors couldn't read it, this is an error.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # Rows dealt by a part of the keys of a join stay where they are.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-"))
 
 
@@ -40,11 +44,18 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a compressed table in the shared folder and read again: smaller than a checkpoint of long texts."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written as a compressed table in the shared folder and read again, and its path: smaller than a checkpoint of
+    long texts. Whoever has it written removes it."""
     path = f"{shared_folder(df.sparkSession)}/table-{run_id()}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

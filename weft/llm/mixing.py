@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import prepare, table
+from weft.llm.common import free_name, prepare, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in their order, repeating.
@@ -55,11 +55,11 @@ def targets(sizes: DataFrame, total_share: float, epochs: float, weights: tuple[
 
 
 def mix(documents: DataFrame, total_share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken, passes of each document; taken = passes * size, passes <= epochs."""
+    """doc_id, size, source_size, target, taken, passes, source of each document; taken = passes * size, passes <= epochs."""
     spark = documents.sparkSession
     prepare(spark)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("key"))
+    rows = documents.select("doc_id", "source", size_of("text").alias("size"), key.alias("key"))
     rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")).checkpoint()
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,11 +86,36 @@ def mix(documents: DataFrame, total_share: float = 1.5, epochs: int = 2, weights
     queued = passes.withColumn("queued", F.sum("size").over(queue)).join(slots, "slot").join(F.broadcast(budget))
     kept = (F.col("queued") + F.col("ahead") <= F.col("budget")) & (F.col("size") > 0)
     taken = queued.groupBy("source", "bucket", "place").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum(kept.cast("int")).alias("passes"))
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"), "passes")
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"), "passes", "source")
+
+
+def corpus(documents: DataFrame, total_share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
+    """The given rows with all their columns, and size, source_size, target, taken and passes: how often the mix has each.
+
+    Rows with equal doc_id, source and size are interchangeable: they get their passes in the order of their texts. A
+    column of the input that has the name of an added one stays, and the added one is called with an underscore in front.
+    """
+    mixed = mix(documents, total_share, epochs, weights, seed)
+    work = {c: free_name(documents, c) for c in ("__key", "__nth")}
+    added = {c: free_name(documents, c) for c in ("size", "source_size", "target", "taken", "passes")}
+    key, nth, size = F.col(work["__key"]), F.col(work["__nth"]), F.col(added["size"])
+    alike = Window.partitionBy(key, "doc_id", "source", size)
+    # Rows without a doc_id are dealt by what else tells them apart.
+    rows = documents.withColumn(added["size"], size_of("text")).withColumn(work["__key"], F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("source", added["size"])))
+    rows = rows.repartition(key).withColumn(work["__nth"], F.row_number().over(alike.orderBy(F.xxhash64("text"))))
+    same = Window.partitionBy("k", "doc_id", "source", "size").orderBy("passes")
+    mixed = mixed.withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("source", "size"))).repartition("k").withColumn("n", F.row_number().over(same))
+    mixed = mixed.select("k", "n", F.col("size").alias("s"), F.col("doc_id").alias("i"), F.col("source").alias("o"), *(F.col(c).alias(f"m_{c}") for c in list(added)[1:]))
+    joined = rows.alias("r").join(mixed.alias("m"), (key == F.col("m.k")) & (nth == F.col("m.n")) & (size == F.col("m.s")) & F.col("r.doc_id").eqNullSafe(F.col("m.i")) & F.col("r.source").eqNullSafe(F.col("m.o")))
+    return joined.select(*(F.col(f"r.{c}") for c in documents.columns), size, *(F.col(f"m.m_{c}").alias(name) for c, name in list(added.items())[1:]))
+
+
+def size_of(text: str):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("passes")
+    return mix(table(spark, sf_dir, "documents")).drop("passes", "source")
 
 
 OP9_SQL = r"""

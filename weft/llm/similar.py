@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import SHARD_BYTES, as_bytes, mix64, pack, prepare, stored, table, unpack, windows
+from weft.llm.common import SHARD_BYTES, as_bytes, mix64, pack, prepare, remove, stored, table, unpack, windows
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 DIMS = 32
@@ -346,10 +346,14 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         return pa.concat_tables([pairs, make({"run": [x for x, _, _ in chunks], "chunk": [x for _, x, _ in chunks], "members": [x for _, _, x in chunks]}, MET)])
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        """node, text: one text of each class, moved from the documents and written in the shared folder."""
+        """node, text: one text of each class, moved from the documents and written in the shared folder for both rounds."""
         asked = nodes.join(classes.select("node", "rep", F.col("t").alias("own")), "node")
         found = docs.join(asked, (F.col("doc_id") == F.col("rep")) & (F.col("t") == F.col("own"))).select("node", "text")
-        return stored(found if once else found.groupBy("node").agg(F.first("text").alias("text")))
+        rows, path = stored(found if once else found.groupBy("node").agg(F.first("text").alias("text")))
+        written.append(path)
+        return rows
+
+    written: list[str] = []
 
     parts = parts_of(total)
     points = classes.select("node", F.col("n").alias("size"), "points")
@@ -372,6 +376,8 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         both = texts.unionByName(fetch(lacking))
         roots = components(links.unionByName(verify(both, more, parts, width, percent).checkpoint()))
 
+    for path in written:
+        remove(spark, path)
     roots = classes.join(roots, "node", "left").select("k1", "k2", "rep", F.coalesce("root", "node").alias("root"))
     # Rows with equal doc_id are one node of the graph, and the smallest doc_id names a component.
     named = one_per_id(signed, roots, None if once else repeated.where("min <> max").select("doc_id"))

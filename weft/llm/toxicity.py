@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import as_bytes, prepare, stored, table
+from weft.llm.common import as_bytes, prepare, remove, stored, table
 from weft.llm.decontaminate import words_of
 
 #: Labelled documents that the model is fitted on at most (those with the smallest hash of their ids).
@@ -157,8 +157,9 @@ def lexicon(texts: DataFrame, share: float) -> Model:
     return Model(best(ranked), best(stems.select("stem", "value", "z")))
 
 
-def training(documents: DataFrame, labels: DataFrame, held_out, sample: int) -> DataFrame:
-    """text, toxic of the rows to learn from: those of at most `sample` labelled documents, found by a hash of their ids."""
+def training(documents: DataFrame, labels: DataFrame, held_out, sample: int) -> tuple[DataFrame, str]:
+    """text, toxic of the rows to learn from: those of at most `sample` labelled documents, found by a hash of their ids;
+    and where this table is."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     picked = known.where(~held_out).join(documents.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).checkpoint()
     return stored(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"))
@@ -168,7 +169,16 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE)
     """Learns from at most `sample` labelled documents for which held_out (a column of doc_id) is false."""
     spark = documents.sparkSession
     prepare(spark)
-    train = training(documents, labels, held_out, sample)
+    train, path = training(documents, labels, held_out, sample)
+    try:
+        return learned(train)
+    finally:
+        remove(spark, path)
+
+
+def learned(train: DataFrame) -> Model:
+    """The model of the given texts (text, toxic)."""
+    spark = train.sparkSession
     texts = train.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies would lend their words weight
     n = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
     if len(n) < 2:
