@@ -45,6 +45,9 @@ DIMS = 32
 #: row (about); members of a long run in one row.
 SHORT, BUCKET_BYTES, HUB, CHUNK = 8, 48 << 20, 1024, 1 << 20
 LEAF = 16
+#: Classes whose texts are asked for are sent to all executors up to this number (24 bytes each); beyond it texts are
+#: joined by a shuffle.
+BROADCAST_ASKED = 1_000_000
 #: Members of open runs that one task looks at (a longer run has its own); cells that a search of one run tests at once.
 OPEN, TABLE = 1 << 18, 1 << 24
 #: Halves of hashes that several classes may share (at 1e12 classes about 27,000 do).
@@ -347,7 +350,9 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
     def fetch(nodes: DataFrame) -> DataFrame:
         """node, text: one text of each class, moved from the documents and written in the shared folder for both rounds."""
-        asked = nodes.join(classes.select("node", "rep", F.col("t").alias("own")), "node")
+        asked = nodes.join(classes.select("node", "rep", F.col("t").alias("own")), "node").checkpoint()
+        if asked.count() <= BROADCAST_ASKED:
+            asked = F.broadcast(asked)
         found = docs.join(asked, (F.col("doc_id") == F.col("rep")) & (F.col("t") == F.col("own"))).select("node", "text")
         rows, path = stored(found if once else found.groupBy("node").agg(F.first("text").alias("text")))
         written.append(path)
@@ -358,7 +363,8 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     parts = parts_of(total)
     points = classes.select("node", F.col("n").alias("size"), "points")
     met = docs.mapInArrow(keys, KEYS).groupBy("bucket").applyInArrow(meet, MET).checkpoint()
-    pairs = bounded(points, met.where("bs is not null").select("a", "salt", "bs"), parts, percent).checkpoint()
+    pairs = bounded(points, met.where("bs is not null").select("a", "salt", "bs"), parts, percent)
+    pairs = neighbours(pairs.checkpoint()).checkpoint()
     texts = fetch(spread(placed(pairs, parts)).select("node").distinct())
     links = verify(texts, pairs, parts, width, percent).checkpoint()
     roots = components(links)
@@ -372,6 +378,7 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         part = F.pmod(F.xxhash64("run"), F.lit(-(-n_open // OPEN))).alias("part")
         asked = rooted.join(is_open.select("run"), "run").join(points, "node").select(part, "run", "node", "root", "size", "points")
         more = asked.groupBy("part").applyInArrow(lambda found: across(found, percent), PAIRS).checkpoint()
+        more = neighbours(more).checkpoint()
         lacking = spread(placed(more, parts)).select("node").distinct().join(texts.select("node"), "node", "left_anti")
         both = texts.unionByName(fetch(lacking))
         roots = components(links.unionByName(verify(both, more, parts, width, percent).checkpoint()))
@@ -479,9 +486,27 @@ def parts_of(total: int) -> int:
     return max(1, -(-total // SHARD_BYTES))
 
 
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """Pairs with by: the smallest member that a is paired with, or a itself. Members of a group that are all paired with
+    each other have it in common, so that its texts move to one part. Where many pairs have one, by is a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = pairs_of(pa.Table.from_batches([batch]))
+            order = np.lexsort((a, b))
+            new = np.concatenate([np.ones(min(1, len(b)), bool), b[order][1:] != b[order][:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(b[order][new]), pa.array(a[order][new])], ["a", "by"])
+
+    least = pairs.mapInArrow(run, "a bigint, by bigint").groupBy("a").agg(F.min("by").alias("by"))
+    named = pairs.join(least, "a", "left").withColumn("by", F.coalesce("by", "a"))
+    many = named.groupBy("by").agg(F.sum(F.octet_length("bs")).alias("bytes")).where(F.col("bytes") > 8 * HUB).select("by", F.lit(True).alias("many"))
+    return named.join(many, "by", "left").select("a", "salt", "bs", F.when(F.col("many"), F.col("a")).otherwise(F.col("by")).alias("by"))
+
+
 def placed(pairs: DataFrame, parts: int) -> DataFrame:
-    """Pairs with the part, v, in which they are looked at: by the first member, a busy one's rows each by itself."""
-    return pairs.select("a", "salt", "bs", F.pmod(F.xxhash64("a", "salt"), F.lit(parts)).cast("int").alias("v"))
+    """Pairs with the part, v, in which they are looked at; the rows of a busy member each by itself."""
+    by = "by" if "by" in pairs.columns else "a"
+    return pairs.select("a", "salt", "bs", F.pmod(F.xxhash64(by, "salt"), F.lit(parts)).cast("int").alias("v"))
 
 
 def spread(placed: DataFrame) -> DataFrame:
