@@ -8,7 +8,7 @@ from weft.functions import morph, text
 from weft.operators import paths, walk
 from weft.sources import readers
 
-T = np.array([[0, 0.01, 0.98, 0, 0.01], [0.45, 0, 0, 0, 0.55], [0, 0, 0, 0, 0], [0.6, 0.2, 0, 0, 0.2], [0.8, 0, 0.2, 0, 0]])
+T = np.array([[0, 0.3, 0.5, 0, 0.2], [0.25, 0, 0, 0, 0.75], [0, 0, 0, 0, 0], [0.5, 0.4, 0, 0, 0.1], [0.9, 0, 0.1, 0, 0]])
 
 
 def test_walk_with_one_query_node_solves_the_linear_system():
@@ -27,9 +27,9 @@ def test_deactivated_nodes_get_nothing():
 
 
 def test_shortest_paths():
-    m = np.array([[0, 0.1, 0.2, 0.7], [0.92, 0, 0.02, 0.06], [0.11, 0.11, 0, 0.78], [0.33, 0.33, 0.34, 0]])
+    m = np.array([[0, 0.2, 0.1, 0.8], [0.9, 0, 0.05, 0.05], [0.2, 0.2, 0, 0.6], [0.25, 0.25, 0.5, 0]])
     d = walk.shortest(m, [0, 2, 3])
-    assert d[0, 1] == pytest.approx(1 / 0.7 + 1 / 0.34) and d[0, 2] == pytest.approx(1 / 0.7) and d[1, 2] == pytest.approx(1 / 0.78)
+    assert d[0, 1] == pytest.approx(1 / 0.8 + 1 / 0.5) and d[0, 2] == pytest.approx(1 / 0.8) and d[1, 2] == pytest.approx(1 / 0.6)
     assert 0 < walk.diameter_restart(d.max()) < 1 and walk.diameter_restart(float("inf")) == 0
 
 
@@ -66,3 +66,14 @@ def test_sources(spark, tmp_path):
     df = spark.range(250)
     readers.write_sharded(df.coalesce(1), str(tmp_path / "out"))
     assert len(list((tmp_path / "out").glob("part-*"))) == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 250
+
+
+def test_merging_by_the_largest():
+    t = T.copy()
+    x = walk.walk(np.full(5, 0.2), t, [1, 4], restart=0.1, most=True)
+    merged = t.copy()
+    merged[:, 1], merged[:, 4] = t[:, [1, 4]].max(axis=1), 0
+    merged[1], merged[4] = merged[[1, 4]].max(axis=0), 0
+    merged = walk.stochastic(merged)
+    r = np.array([0, 0.5, 0, 0, 0.5])
+    assert np.allclose(x, np.linalg.solve(np.eye(5) - 0.9 * merged.T, 0.1 * r), atol=1e-8) and (t == T).all()

@@ -28,6 +28,11 @@ def fields(config: Column) -> Column:
     return F.filter(F.transform(F.split(config, r"\."), lambda x: F.replace(x, F.lit(" "), F.lit(""))), lambda x: x != "")
 
 
+def after(parts: Column, n: Column) -> Column:
+    """The array without its first n members."""
+    return F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0)))
+
+
 def noun(config: Column, compat_mode: bool) -> Column:
     f = fields(config)
     part = lambda k: F.try_element_at(f, F.lit(k))
@@ -41,13 +46,13 @@ def noun(config: Column, compat_mode: bool) -> Column:
 
 def verb(config: Column) -> Column:
     f = F.transform(fields(F.replace(config, F.lit("vn."), F.lit(""))), lambda x: x)
-    f = F.when(F.try_element_at(f, F.lit(1)).isin("ca", "des", "int"), F.slice(f, 2, 100)).otherwise(f)
+    f = F.when(F.try_element_at(f, F.lit(1)).isin("ca", "des", "int"), after(f, F.lit(1))).otherwise(f)
     numbers = F.array(*map(F.lit, NUMBERS))
     one = F.try_element_at(f, F.lit(1))
-    rest = F.slice(f, 2, 100)
+    rest = after(f, F.lit(1))
     number = F.try_element_at(F.filter(rest, lambda x: F.array_contains(numbers, x)), F.lit(1))
     at = F.array_position(rest, number)
-    person = F.try_element_at(F.filter(F.slice(rest, F.coalesce(at, F.lit(0)).cast("int") + 1, F.lit(100)), lambda x: x.isin("1", "2", "3")), F.lit(1))
+    person = F.try_element_at(F.filter(after(rest, F.coalesce(at, F.lit(0)).cast("int")), lambda x: x.isin("1", "2", "3")), F.lit(1))
     before = F.when(number.isNull(), rest).otherwise(F.slice(rest, F.lit(1), (at - 1).cast("int")))
     two, three = F.try_element_at(before, F.lit(1)), F.try_element_at(before, F.lit(2))
     unit = F.when(number.isNull(), 0).otherwise(3 * (F.array_position(numbers, number).cast("int") - 1) + F.coalesce(person.cast("int"), F.lit(1)))
@@ -77,3 +82,14 @@ def word_class(form: Column, config: Column, compat_mode: bool = False) -> Colum
         .when(form == "verb", verb(config))
         .cast("int")
     )
+
+
+def class_set(forms: Column, compat_mode: bool = False) -> Column:
+    """The distinct classes of a map from forms to descriptions; the key verbform doesn't count."""
+    classes = F.transform(F.map_entries(forms), lambda e: F.when(e["key"] != "verbform", F.transform(e["value"], lambda c: word_class(e["key"], c, compat_mode))))
+    return F.array_distinct(F.flatten(F.filter(classes, lambda x: x.isNotNull())))
+
+
+def first_class(form: Column, configs: Column, compat_mode: bool = False) -> Column:
+    """The class of the first of several descriptions."""
+    return word_class(form, F.try_element_at(configs, F.lit(1)), compat_mode)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -91,38 +91,46 @@ def filled(senses: DataFrame, gold: DataFrame) -> DataFrame:
     return chunks.join(known, ["sent_id", "chunk_id"], "left").mapInArrow(run, schema)
 
 
-def learned_shares(scores: DataFrame, gold_flag: str, columns: list[str], rate: float) -> DataFrame:
-    """sent_id, shares: the weights of several rankings after each sentence, in order of sent_id.
+def step_moves(steps: DataFrame, gold: DataFrame, models: int) -> DataFrame:
+    """sent_id, step, moves: for each model, the score of the step's best gold node less that of its best other node, of
+    the nodes that were open; 0 where it has no node of one kind. steps: a trace of the greedy loop."""
+    known = gold.select("sent_id", "lemma").distinct().withColumn("hit", F.lit(1))
+    rows = steps.where(F.col("rank").isNotNull() & ~F.col("source").isin("query", "gone")).join(known, ["sent_id", "lemma"], "left")
+    best = lambda k, hit: F.max(F.when(F.coalesce("hit", F.lit(0)) == hit, F.col("scores")[k]))
+    return rows.groupBy("sent_id", "step").agg(F.array(*(F.coalesce(best(k, 1) - best(k, 0), F.lit(0.0)) for k in range(models))).alias("moves"))
+
+
+def learned_shares(moves: DataFrame, models: int, rate: float) -> DataFrame:
+    """sent_id, step, before, moves, shares: the weights of the rankings before and after each step of each sentence.
 
-    A sentence moves each weight by rate * (score of its best gold node - score of its best other node), then all are
-    made to sum to one. Every step needs the one before, so one task goes through the sentences; it holds one row.
+    A step moves each weight by rate * its move, then all are made to sum to one. Every step needs the one before, so one
+    task goes through all steps in order of sentence and step; it holds one row.
     """
-    best = scores.groupBy("sent_id").agg(*(F.max(F.when(F.col(gold_flag) == g, F.col(c))).alias(f"{c}_{g}") for c in columns for g in (0, 1)))
-    moves = best.select("sent_id", *(F.coalesce(F.col(f"{c}_1") - F.col(f"{c}_0"), F.lit(0.0)).alias(c) for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = [1 / len(columns)] * len(columns)
+        share = [1 / models] * models
         for batch in batches:
-            out = []
-            for move in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            before, after = [], []
+            for move in batch.column(2).to_pylist():
+                before.append(share)
                 share = [s + rate * m for s, m in zip(share, move, strict=True)]
                 total = sum(share)
                 share = [s / total for s in share] if total else share
-                out.append(share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["sent_id", "shares"])
+                after.append(share)
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, kind), batch.column(2), pa.array(after, kind)], ["sent_id", "step", "before", "moves", "shares"])
 
-    return moves.coalesce(1).sortWithinPartitions("sent_id").mapInArrow(run, "sent_id bigint, shares array<double>")
+    rows = moves.select("sent_id", "step", "moves").repartition(1).sortWithinPartitions("sent_id", "step")
+    return rows.mapInArrow(run, "sent_id bigint, step int, before array<double>, moves array<double>, shares array<double>")
 
 
-def training_rows(scores: DataFrame, query: DataFrame, gold: DataFrame, columns: list[str], blend: str) -> DataFrame:
-    """The scores of all nodes that rank at or after the round's winner, and whether their lemma is gold."""
-    order = Window.partitionBy("sent_id").orderBy(F.round(blend, 9).desc(), F.desc("node_id"))
-    open_nodes = query.select("sent_id", "node_id", F.lit(1).alias("asked"))
-    ranked = scores.withColumn("rank", F.row_number().over(order)).join(open_nodes, ["sent_id", "node_id"], "left")
-    won = F.min(F.when(F.col("asked").isNull(), F.col("rank"))).over(Window.partitionBy("sent_id"))
+def training_steps(steps: DataFrame, gold: DataFrame, models: list[str]) -> DataFrame:
+    """sent_id, step, node_id, the models' scores, flag: for each step of a trace, the nodes that rank at or after its
+    winner, and whether their lemma is gold."""
+    won = steps.where("source = 'winner'").select("sent_id", "step", F.col("rank").alias("won"))
     known = gold.select("sent_id", "lemma").distinct().withColumn("hit", F.lit(1))
-    rows = ranked.withColumn("won", won).where("rank >= won").join(known, ["sent_id", "lemma"], "left")
-    return rows.select("sent_id", "node_id", *columns, F.coalesce("hit", F.lit(0)).alias("flag"))
+    rows = steps.join(won, ["sent_id", "step"]).where("rank >= won").join(known, ["sent_id", "lemma"], "left")
+    return rows.select("sent_id", "step", "node_id", *(F.col("scores")[k].alias(m) for k, m in enumerate(models)), F.coalesce("hit", F.lit(0)).alias("flag"))
 
 
 def exported(chosen: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ def pairs(nodes: DataFrame, condition: str) -> DataFrame:
     return nodes.join(other, "sent_id").where(condition)
 
 
+#: Junction rules up to this number are sent to all executors; more of them are joined by a shuffle.
+BROADCAST_RULES = 1_000_000
+
+
 def spans(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of one chunk in reading order with their overlap and whether they can stand together.
 
@@ -30,6 +34,8 @@ def spans(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     one = rules.select(F.col("left").alias("tail"), F.col("right").alias("first"), F.col("length").alias("by_tail"))
     two = rules.select(F.col("left").alias("last"), F.col("right").alias("head"), F.col("length").alias("by_head"))
     keyed = near.select("*", tail.alias("tail"), F.expr("left(surface2, 1)").alias("first"), F.expr("right(surface, 1)").alias("last"), head.alias("head"))
+    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        one, two = F.broadcast(one), F.broadcast(two)
     ruled = keyed.join(one, ["tail", "first"], "left").join(two, ["last", "head"], "left")
     short = F.coalesce(F.col("by_tail") < F.col("overlap") + 1, F.lit(False)) | F.coalesce(F.col("by_head") < F.col("overlap") + 1, F.lit(False))
     stands = (F.col("pos") < F.col("pos2")) & ((F.col("overlap") == 0) | F.col("overlap").isin(1, 2) & short)

@@ -65,3 +65,9 @@ def merged_shards(shards: list[DataFrame], key: str, once: bool) -> DataFrame:
         return every
     last = Window.partitionBy(key).orderBy(F.desc("shard"))
     return every.withColumn("__place", F.row_number().over(last)).where("__place = 1").drop("__place")
+
+
+def scaled(rows: DataFrame, value: str, weight: str) -> DataFrame:
+    """rows with scaled (value by its range) and share (weight by the sum of all)."""
+    ends = rows.agg((F.max(value) - F.min(value)).alias("__range"), F.sum(weight).alias("__sum"))
+    return rows.join(F.broadcast(ends)).withColumns({"scaled": F.col(value) / F.col("__range"), "share": F.col(weight) / F.col("__sum")}).drop("__range", "__sum")

@@ -14,6 +14,10 @@ KINDS = {"1": "lemma", "2": "cng", "3": "both"}
 PATHS = [a + b + c for a in "123" for b in "123" for c in "123" if (a + b + c).count("3") < 2]
 
 
+#: Steps of paths up to this number are sent to all executors; more of them are joined by a shuffle.
+BROADCAST_HOPS = 500_000
+
+
 def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("both", F.concat_ws("_", "lemma", "cng"))
 
@@ -50,12 +54,12 @@ def features(nodes: DataFrame, compatible: DataFrame, codes: list[str], compat_m
     right = rows.select("sent_id", F.col("node_id").alias("ri"), *(F.col(c).alias(f"r{k}") for k, c in KINDS.items()))
     triples = pairs.join(beside, ["sent_id", "ri"]).where("m <> li").join(left, ["sent_id", "li"]).join(right, ["sent_id", "ri"])
     p = transitions(evidence(nodes))
-    if p.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        p = p.checkpoint()  # read once for every kind of step
+    p = p.checkpoint()  # read once for every kind of step
+    small = F.broadcast if p.count() <= BROADCAST_HOPS else lambda df: df
     hops = sorted({(f"l{c[0]}", f"m{c[1]}") for c in codes} | {(f"m{c[1]}", f"r{c[2]}") for c in codes})
     for a, b in hops:
         own = p.where((F.col("k1") == a[1]) & (F.col("k2") == b[1])).select(F.col("x").alias(a), F.col("y").alias(b), F.col("p").alias(f"{a}_{b}"))
-        triples = triples.join(own, [a, b], "left")
+        triples = triples.join(small(own), [a, b], "left")
     hop = lambda a, b: F.coalesce(F.col(f"{a}_{b}"), F.lit(0.0))
 
     def value(c: str):
@@ -76,10 +80,13 @@ def noun_pairs(nodes: DataFrame, same: DataFrame, counts: DataFrame, compatible:
     return joined.select("sent_id", "li", "ri", F.when(F.col("n") > 0, F.coalesce(F.col("s"), F.lit(0)) / F.col("n")).otherwise(0.0).alias("f400"))
 
 
-def class_shares(nodes: DataFrame, verb: str, cls: str) -> DataFrame:
-    """a, b, f: of the sentences of lemma a with a verb but without the class cls, the share in which b has the class."""
+def class_shares(nodes: DataFrame, verb: str, cls: str, column: str = "cng") -> DataFrame:
+    """a, b, f: of the sentences of lemma a with a verb but without the class cls, the share in which b has the class.
+
+    verb is a value of cng, cls of the given column.
+    """
     verbs = nodes.where(F.col("cng") == verb).select("lemma", "sent_id").distinct()
-    classed = nodes.where(F.col("cng") == cls).select("lemma", "sent_id").distinct()
+    classed = nodes.where(F.col(column) == cls).select("lemma", "sent_id").distinct()
     rest = verbs.join(classed, ["lemma", "sent_id"], "left_anti").withColumnRenamed("lemma", "a")
     size = rest.groupBy("a").agg(F.count("*").alias("whole"))
     both = rest.join(classed.withColumnRenamed("lemma", "b"), "sent_id").groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -96,6 +103,21 @@ def path_ranking(nodes: DataFrame, query: DataFrame, feature: DataFrame, weights
     return open_nodes.join(summed, ["sent_id", "node_id"], "left").na.fill(0.0, ["score"])
 
 
+def class_pairs(nodes: DataFrame, compatible: DataFrame, verb: str, classes: dict[str, str]) -> DataFrame:
+    """sent_id, li, ri and one column per code of classes (code: value of the column cls): where li is a verb not of the
+    class and ri is of it, class_shares() of their lemmas, else 0."""
+    left = nodes.select("sent_id", F.col("node_id").alias("li"), F.col("lemma").alias("a"), "is_verb", F.col("cls").alias("lc"))
+    right = nodes.select("sent_id", F.col("node_id").alias("ri"), F.col("lemma").alias("b"), F.col("cls").alias("rc"))
+    rows = compatible.where("n1 < n2").select("sent_id", F.col("n1").alias("li"), F.col("n2").alias("ri")).join(left, ["sent_id", "li"]).join(right, ["sent_id", "ri"])
+    shares = None
+    for code, cls in classes.items():
+        own = class_shares(nodes, verb, cls, "cls").select("a", "b", F.lit(cls).alias("rc"), "f")
+        shares = own if shares is None else shares.unionByName(own)
+    rows = rows.join(shares, ["a", "b", "rc"], "left")
+    value = lambda cls: F.when(F.col("is_verb") & (F.col("rc") == cls) & ~F.col("lc").eqNullSafe(F.lit(cls)), F.coalesce("f", F.lit(0.0))).otherwise(0.0)
+    return rows.select("sent_id", "li", "ri", *(value(cls).alias(f"f{code}") for code, cls in classes.items()))
+
+
 def compounds(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """pairs (a, b) with f999: the share of a's compounds that go on with b."""
     whole = counts.groupBy("a").agg(F.sum("n").alias("whole"))

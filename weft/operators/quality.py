@@ -75,3 +75,82 @@ def first_of(df: DataFrame, key: list[str], order: list) -> DataFrame:
 
 def undone(every: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return every.select(key).distinct().join(done.select(key), key, "left_anti")
+
+
+def whole_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows all of whose keys are numbers, with integer keys."""
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull() & ~F.isnan(F.col(k).cast("double"))).withColumn(k, F.col(k).cast("int"))
+    return rows
+
+
+#: Fixed value: the status of sentences whose candidates have fewer chunks than gold.
+INCOMPLETE = "Incomplete chunk"
+
+
+def missing_report(nodes: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """sent_id, n_missing (text) of all sentences of gold: the number of missing lemmas, or that chunks lacks chunks."""
+    have = chunks.groupBy("sent_id").agg(F.countDistinct("chunk_id").alias("have"))
+    rows = gold.groupBy("sent_id").agg(F.countDistinct("chunk_id").alias("want")).join(have, "sent_id", "left").join(missing(nodes, gold), "sent_id", "left")
+    return rows.select("sent_id", F.when(F.coalesce("have", F.lit(0)) < F.col("want"), INCOMPLETE).otherwise(F.coalesce("n_missing", F.lit(0)).cast("string")).alias("n_missing"))
+
+
+def without_lemmas(rows: DataFrame, lemmas: list[str]) -> DataFrame:
+    return rows.where(~F.col("lemma").isin(lemmas))
+
+
+def live_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a value other than 0 in one of the columns."""
+    return rows.where(" or ".join(f"{c} <> 0" for c in columns))
+
+
+def in_ranges(rows: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
+    """Rows whose columns lie in closed ranges; None leaves an end open."""
+    for c, (low, high) in ranges.items():
+        rows = rows.where((F.lit(True) if low is None else F.col(c) >= low) & (F.lit(True) if high is None else F.col(c) <= high))
+    return rows
+
+
+def class_flags(cng, compat_mode: bool = False) -> dict:
+    """Whether a class is a noun, a verb and one of its participles. compat_mode: ppa counts as ppp, and nothing as ppa."""
+    ppp = (cng == -190) | (cng == -200) if compat_mode else cng == -190
+    ppa = F.lit(False) if compat_mode else cng == -200
+    return {"nouns": cng > 3, "verbs": cng < 0, "gerund": cng == -210, "ppp": ppp, "ppa": ppa, "inf": cng == -220, "absol": cng == -230}
+
+
+def single_lemma(nodes: DataFrame) -> DataFrame:
+    """Chunks with exactly one lemma that isn't empty."""
+    return nodes.where("lemma <> ''").groupBy("sent_id", "chunk_id").agg(F.count("*").alias("n")).where("n = 1").select("sent_id", "chunk_id")
+
+
+def parts_between(rows: DataFrame, value: str, key: list[str], order: list[str]) -> DataFrame:
+    """The rows with a value, and part: how many rows without one stand before them."""
+    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("part", F.sum(F.col(value).isNull().cast("bigint")).over(before)).where(F.col(value).isNotNull())
+
+
+def solutions(gold: DataFrame, stripped) -> DataFrame:
+    """sent_id, lemma: every gold lemma and its twin without prefix, repeats kept."""
+    return gold.select("sent_id", F.explode(F.array("lemma", stripped(F.col("lemma")))).alias("lemma"))
+
+
+def sliced(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (sent_id, chunk_id, p, next) with surface: the chunk's letters from p to where its lemma `next` stands first.
+
+    Without a next lemma the letters go to the end; if it isn't a candidate, to the last but one.
+    """
+    named = nodes.groupBy("sent_id", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "surface"))), lambda x: x["surface"]), "").alias("name"))
+    place = nodes.groupBy("sent_id", "chunk_id", F.col("lemma").alias("next")).agg(F.min("pos").alias("q"))
+    rows = wanted.join(named, ["sent_id", "chunk_id"]).join(place, ["sent_id", "chunk_id", "next"], "left")
+    end = F.when(F.col("next").isNull(), F.length("name")).otherwise(F.coalesce("q", F.length("name") - 1))
+    return rows.withColumn("surface", F.substring("name", F.col("p") + 1, F.greatest(end - F.col("p"), F.lit(0)))).drop("name", "q")
+
+
+def shown(nodes: DataFrame) -> DataFrame:
+    """sent_id, shown: chunk, position and lemma of a sentence's candidates in one line."""
+    word = F.concat_ws(":", F.col("chunk_id").cast("string"), F.col("pos").cast("string"), "lemma")
+    return nodes.groupBy("sent_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", word.alias("word")))), lambda x: x["word"]), " ").alias("shown"))
+
+
+def words_at(nodes: DataFrame, chunk: int, pos: int) -> DataFrame:
+    return nodes.where((F.col("chunk_id") == chunk) & (F.col("pos") == pos))

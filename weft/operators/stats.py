@@ -46,6 +46,25 @@ def smoothed(pairs: DataFrame, counts: DataFrame, halve: bool = False, unseen: f
     return with_probability(out, unseen)
 
 
+def mass(counts: DataFrame) -> DataFrame:
+    """a, mass: the smoothed probabilities of all keys after a, added up without making the pairs."""
+    m = margins(counts)
+    whole = m.agg(F.sum(F.greatest("partners", F.lit(1))).alias("all"))
+    seen = counts.groupBy("a").agg(F.sum(F.greatest(F.col("n") - F.lit(0.5), F.lit(0.0))).alias("seen"))
+    rows = m.join(seen, "a").join(F.broadcast(whole)).join(F.broadcast(contexts(counts)))
+    rest = F.lit(0.5) * F.greatest(F.col("partners"), F.lit(1)) / (F.col("total") + 1.0)
+    return rows.select("a", (F.col("seen") / (F.col("total") + 1.0) + rest * F.col("all") / F.col("contexts")).alias("mass"))
+
+
+def joint_mass(counts: DataFrame) -> DataFrame:
+    """One row, mass: the joint form of the smoothed probabilities over all pairs of keys; what the discount takes from
+    seen pairs goes to all by the product of their shares of contexts, so the pairs needn't be made."""
+    one = counts.agg(F.sum("n").cast("double").alias("n"), F.count("*").cast("double").alias("contexts"), F.sum(F.col("n") - F.lit(0.5)).alias("seen"))
+    shares = margins(counts).agg(F.sum("partners").cast("double").alias("partners"))
+    ratio = F.col("partners") / F.col("contexts")
+    return one.join(F.broadcast(shares)).select((F.col("seen") / F.col("n") + F.lit(0.5) * F.col("contexts") / F.col("n") * ratio * ratio).alias("mass"))
+
+
 def with_probability(joined: DataFrame, unseen: float | None = None) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     half = F.lit(0.5)
@@ -70,6 +89,24 @@ def normalised(edges: DataFrame) -> DataFrame:
     return edges.withColumn("sum", F.sum("p").over(row)).where("sum > 0").select("sent_id", "src", "dst", (F.col("p") / F.col("sum")).alias("p"))
 
 
+def vector_edges(nodes: DataFrame, similar: DataFrame, discount: float = 0.1) -> DataFrame:
+    """sent_id, src, dst, p between all nodes of a sentence, from similarities (a, b, s) of their lemmas.
+
+    p is the sigmoid of s, 0 where a lemma has no vector. A row with zeros gives a discount of each other entry to them;
+    a row of zeros alone is even.
+    """
+    first = nodes.select("sent_id", F.col("node_id").alias("src"), F.col("lemma").alias("a"))
+    second = nodes.select("sent_id", F.col("node_id").alias("dst"), F.col("lemma").alias("b"))
+    rows = first.join(second, "sent_id").where("src <> dst").join(similar, ["a", "b"], "left")
+    rows = rows.withColumn("v", F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("s"))), F.lit(0.0)))
+    row = Window.partitionBy("sent_id", "src")
+    rows = rows.withColumns({"sum": F.sum("v").over(row), "full": F.sum((F.col("v") > 0).cast("int")).over(row), "all": F.count("*").over(row)})
+    less = F.greatest(F.col("v") - F.lit(discount), F.lit(0.0)) / F.col("sum")
+    filler = F.lit(discount) * F.col("full") / (F.col("sum") * (F.col("all") - F.col("full")))
+    p = F.when(F.col("sum") == 0, F.lit(1.0) / F.col("all")).when(F.col("full") == F.col("all"), F.col("v") / F.col("sum")).when(less == 0, filler).otherwise(less)
+    return rows.select("sent_id", "src", "dst", p.alias("p"))
+
+
 def edges_smoothed(nodes: DataFrame, key: str, counts: DataFrame, conflict: DataFrame, halve: bool = False, unseen: float | None = None) -> DataFrame:
     """sent_id, src, dst, p: smoothed transition probabilities between nodes that don't exclude each other."""
     open_pairs = node_pairs(nodes, key).join(conflict.select("sent_id", F.col("n1").alias("src"), F.col("n2").alias("dst")), ["sent_id", "src", "dst"], "left_anti")
@@ -94,3 +131,16 @@ def verb_ranking(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     most = other.join(verbs, "sent_id").join(counts, ["verb", "cng"], "left").groupBy("sent_id", "node_id").agg(F.max(F.coalesce("n", F.lit(0))).alias("most"))
     whole = F.sum("most").over(Window.partitionBy("sent_id"))
     return most.withColumn("whole", whole).where("whole > 0").select("sent_id", "node_id", (F.col("most") / F.col("whole")).alias("score"))
+
+
+def class_evidence(nodes: DataFrame) -> DataFrame:
+    """lemma, cls, sentences: in how many sentences a lemma stands in each class, "verbs" being all verb classes."""
+    kinds = F.filter(F.array("cls", F.when(F.col("is_verb"), "verbs")), lambda c: c.isNotNull())
+    return nodes.select("lemma", "sent_id", F.explode(kinds).alias("cls")).groupBy("lemma", "cls").agg(F.countDistinct("sent_id").alias("sentences"))
+
+
+def rekeyed(counts: DataFrame, renamed, compat_mode: bool = False) -> DataFrame:
+    """a, b, n under renamed keys: counts whose keys fall together are added. compat_mode: the last of them holds."""
+    rows = counts.select(renamed(F.col("a")).alias("x"), renamed(F.col("b")).alias("y"), "a", "b", "n").groupBy(F.col("x").alias("ka"), F.col("y").alias("kb"))
+    n = F.max_by("n", F.concat("a", F.lit("\x01"), "b")) if compat_mode else F.sum("n")
+    return rows.agg(n.alias("n")).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "n")

@@ -113,74 +113,143 @@ def shortest(matrix: np.ndarray, keep: list[int], more: float = 0.0) -> np.ndarr
     return d
 
 
-def greedy(n: int, matrices: list[np.ndarray], against: list[set[int]], chunk: list[int], query: list[int], shares: list[float]) -> list[tuple[int, int, str]]:
-    """(step, node, source) of the chosen nodes: initial queries, then each round's winner and what it makes certain."""
-    first, query, gone = list(query), list(query), set()
-    out = [(0, q, "initial_query") for q in query]
-    prior = np.ones(n)
-    prior[query[1:]] = 0
-    step = 0
-    while len(query) + len(gone) < n:
+def limits(t: np.ndarray, query: np.ndarray, first: np.ndarray, gone: np.ndarray, restart: float = RESTART) -> np.ndarray:
+    """What walk() converges to, for many sentences of one size at once.
+
+    t: matrices (b, n, n); query, first, gone: masks (b, n), the first node of `first` being the one others merge into.
+    """
+    b, n = query.shape
+    t = t * ~gone[:, :, None] * ~gone[:, None, :]
+    every, to = np.arange(b), first.argmax(axis=1)
+    weight = (query & first) + 0.1 * (query & ~first)
+    one = t * ~query[:, None, :]
+    one[every, :, to] = (t @ weight[:, :, None])[:, :, 0]
+    row = (weight[:, None, :] @ one)[:, 0]
+    one *= ~query[:, :, None]
+    one[every, to] = row
+    t = np.where((query.sum(axis=1) > 1)[:, None, None], one, t)
+    total = t.sum(axis=2, keepdims=True)
+    t = np.divide(t, total, out=np.zeros_like(t), where=total > 0)
+    r = query / query.sum(axis=1, keepdims=True)
+    return np.linalg.solve(np.eye(n) - (1 - restart) * t.transpose(0, 2, 1), restart * r[:, :, None])[:, :, 0]
+
+
+SOURCES = np.array(["open", "query", "gone", "winner", "removed", "expanded"])
+
+
+def greedy(matrices: list[np.ndarray], against: np.ndarray, chunk: np.ndarray, first: np.ndarray, shares: list[float], by: str = "walk", compat_mode: bool = False) -> Iterator[tuple]:
+    """The rounds of many sentences of one size: sentences, step, scores (models, b, n), blend, rank, source (b, n).
+
+    matrices (b, n, n) and shares are those of the models; against (b, n, n): which nodes exclude each other; first: the
+    initial query. by: "walk" ranks by walks from the query nodes, "path" by the sum of their rows. compat_mode: nodes
+    that an initial query node excludes stay open, so that a reading may hold both.
+    """
+    n = first.shape[1]
+    query, gone = first.copy(), np.zeros_like(first)
+    if not compat_mode:
+        gone = (against & query[:, :, None]).any(axis=1) & ~query
+    live, step = np.flatnonzero((query | gone).sum(axis=1) < n), 0
+    while len(live):
         step += 1
-        live = prior > 0
-        prior[live] = 1 / (n - len(query) + 1 - len(gone))
-        total = np.zeros(n)
-        for m, share in zip(matrices, shares, strict=True):
-            x = walk(prior, m, query, sorted(gone), first)
-            total += share * x / x.sum() if x.sum() > 0 else 0
-        total = np.round(total, 12)
-        taken = set(query) | gone
-        win = max((k for k in range(n) if k not in taken), key=lambda k: (total[k], k))
-        query.append(win)
-        prior[win] = 0
-        out.append((step, win, "winner"))
-        gone |= against[win] - set(query)
-        rest = [k for k in range(n) if chunk[k] == chunk[win] and k not in gone and k not in query]
-        for k in [k for k in rest if not against[k] & set(rest)]:
-            query.append(k)
-            out.append((step, k, "expanded"))
-    return out
-
-
-SENTENCE = "sent_id bigint, step int, node_id int, source string"
-
-
-def predict(nodes: DataFrame, conflict: DataFrame, query: DataFrame, edges: list[DataFrame], shares: list[float]) -> DataFrame:
-    """sent_id, step, node_id, lemma, source: the compatible reading that the greedy loop chooses for every sentence.
-
-    Sentences of one node are left out, as there is nothing to choose.
+        q, g, rows = query[live], gone[live], np.arange(len(live))
+        if by == "path":
+            scores = np.stack([(q[:, None, :] @ m[live])[:, 0] for m in matrices])
+        else:
+            x = np.stack([limits(m[live], q, first[live], g) for m in matrices])
+            total = x.sum(axis=2, keepdims=True)
+            scores = np.divide(x, total, out=np.zeros_like(x), where=total > 0)
+        blend = np.round(np.tensordot(np.array(shares), scores, 1), 9)
+        order = n - 1 - np.argsort(-blend[:, ::-1], axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(1, n + 1)[None, :], axis=1)
+        win = np.where(q | g, n + 1, rank).argmin(axis=1)
+        source = np.where(q, 1, np.where(g, 2, 0))
+        q[rows, win] = True
+        removed = against[live, win] & ~q & ~g
+        g |= removed
+        rest = (chunk[live] == chunk[live, win][:, None]) & ~g & ~q
+        lone = rest & ~(against[live] & rest[:, None, :]).any(axis=2)
+        source[removed], source[lone] = 4, 5
+        source[rows, win] = 3
+        yield live, step, scores, blend, rank, source
+        query[live], gone[live] = q | lone, g
+        live = live[(query[live] | gone[live]).sum(axis=1) < n]
+
+
+TRACE = "sent_id bigint, step int, node_id int, lemma string, source string, scores array<double>, score double, rank int"
+
+
+def trace(nodes: DataFrame, conflict: DataFrame, query: DataFrame, edges: list[DataFrame], shares: list[float], by: str = "walk", compat_mode: bool = False) -> DataFrame:
+    """Every step of the greedy loop: step 0 has the initial query nodes; each further step all nodes of the sentence with
+    the scores of the models, their blend, the rank, and what the step makes of the node (source).
+
+    Sentences of one node are left out, as there is nothing to choose. edges: what models make of (nodes, counts), each as
+    sent_id, src, dst, p.
     """
-    keyed = nodes.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "chunk_id"))).alias("nodes"))
-    against = conflict.groupBy("sent_id").agg(F.collect_list(F.struct("n1", "n2")).alias("against"))
-    start = query.groupBy("sent_id").agg(F.sort_array(F.collect_list("node_id")).alias("query"))
-    rows = keyed.join(start, "sent_id").join(against, "sent_id", "left")
+    keyed = nodes.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "chunk_id", "lemma"))).alias("__n"))
+    rows = keyed.where(F.size("__n") > 1).select("sent_id", F.col("__n.chunk_id").alias("chunk_id"), F.col("__n.lemma").alias("lemma"))
+    rows = rows.join(query.groupBy("sent_id").agg(F.sort_array(F.collect_list("node_id")).alias("query")), "sent_id")
+    rows = rows.join(conflict.groupBy("sent_id").agg(*(F.collect_list(c).alias(c) for c in ("n1", "n2"))), "sent_id", "left")
     for k, e in enumerate(edges):
-        rows = rows.join(e.groupBy("sent_id").agg(F.collect_list(F.struct("src", "dst", "p")).alias(f"e{k}")), "sent_id", "left")
-
+        rows = rows.join(e.groupBy("sent_id").agg(*(F.collect_list(c).alias(f"{c}{k}") for c in ("src", "dst", "p"))), "sent_id", "left")
+    rows = rows.select("sent_id", "chunk_id", "lemma", "query", "n1", "n2", *(f"{c}{k}" for k in range(len(edges)) for c in ("src", "dst", "p")))
     n_edges = len(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                n = len(r["nodes"])
-                if n < 2:
-                    continue
-                matrices = []
-                for k in range(n_edges):
-                    m = np.zeros((n, n))
-                    for e in r[f"e{k}"] or ():
-                        m[e["src"], e["dst"]] = e["p"]
-                    matrices.append(m)
-                rivals: list[set[int]] = [set() for _ in range(n)]
-                for c in r["against"] or ():
-                    rivals[c["n1"]].add(c["n2"])
-                out += [(r["sent_id"], *x) for x in greedy(n, matrices, rivals, [x["chunk_id"] for x in r["nodes"]], r["query"], shares)]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["sent_id", "step", "node_id", "source"])
-
-    chosen = rows.mapInArrow(run, SENTENCE)
-    return chosen.join(nodes.select("sent_id", "node_id", "lemma"), ["sent_id", "node_id"]).select("sent_id", "step", "node_id", "lemma", "source")
+            flat = {f.name: (c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name not in ("sent_id", "lemma")}
+            words = batch.column("lemma").to_pylist()
+            sent = batch.column("sent_id").to_numpy()
+            size = np.diff(flat["chunk_id"][0])
+
+            def lists(name: str, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """The entries of some sentences' lists, and which of them each belongs to."""
+                at, values = flat[name]
+                length = at[own + 1] - at[own]
+                places = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(at[own], length)
+                return values[places], np.repeat(np.arange(len(own)), length)
+
+            for n in np.unique(size).tolist():
+                every = np.flatnonzero(size == n)
+                step = max(1, (1 << 20) // (n * n))
+                for own in (every[k : k + step] for k in range(0, len(every), step)):
+                    b = len(own)
+                    first, against = np.zeros((b, n), bool), np.zeros((b, n, n), bool)
+                    value, of = lists("query", own)
+                    first[of, value] = True
+                    (n1, of), (n2, _) = lists("n1", own), lists("n2", own)
+                    against[of, n1, n2] = True
+                    matrices = [np.zeros((b, n, n)) for _ in range(n_edges)]
+                    for k, m in enumerate(matrices):
+                        (src, of), (dst, _), (p, _) = (lists(f"{c}{k}", own) for c in ("src", "dst", "p"))
+                        m[of, src, dst] = p
+                    chunk = lists("chunk_id", own)[0].reshape(b, n)
+                    s, k = np.nonzero(first)
+                    yield rows_of(sent[own[s]], np.zeros(len(s)), k, [words[own[x]][y] for x, y in zip(s.tolist(), k.tolist(), strict=True)], np.full(len(s), "initial_query"), None)
+                    for live, at, scores, blend, rank, source in greedy(matrices, against, chunk, first, shares, by, compat_mode):
+                        c = len(live)
+                        yield rows_of(np.repeat(sent[own[live]], n), np.full(c * n, at), np.tile(np.arange(n), c), [w for x in live.tolist() for w in words[own[x]]], SOURCES[source.ravel()], (scores.reshape(n_edges, -1).T, blend.ravel(), rank.ravel()))
+
+    return rows.mapInArrow(run, TRACE)
+
+
+def rows_of(sent, step, node, words, source, ranked) -> pa.RecordBatch:
+    n = len(sent)
+    if ranked is None:
+        more = [pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32())]
+    else:
+        scores, blend, rank = ranked
+        more = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel())), pa.array(blend), pa.array(rank.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(sent, pa.int64()), pa.array(step.astype(np.int32)), pa.array(node.astype(np.int32)), pa.array(words, pa.string()), pa.array(source, pa.string()), *more], ["sent_id", "step", "node_id", "lemma", "source", "scores", "score", "rank"])
+
+
+def predict(nodes: DataFrame, conflict: DataFrame, query: DataFrame, edges: list[DataFrame], shares: list[float], by: str = "walk", compat_mode: bool = False) -> DataFrame:
+    """sent_id, step, node_id, lemma, source: the compatible reading that the greedy loop chooses for every sentence."""
+    return chosen(trace(nodes, conflict, query, edges, shares, by, compat_mode))
+
+
+def chosen(steps: DataFrame) -> DataFrame:
+    return steps.where(F.col("source").isin("initial_query", "winner", "expanded")).select("sent_id", "step", "node_id", "lemma", "source")
 
 
 def closure(edges: DataFrame, rounds: int) -> DataFrame:

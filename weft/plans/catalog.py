@@ -111,8 +111,7 @@ def cut(spark, *frames):
 
 def base(spark, sf):
     """nodes, conflict and query, computed once."""
-    (nodes,) = cut(spark, s.nodes(spark, sf))
-    (conflict,) = cut(spark, lattice.conflicts(nodes, s.rules(spark)))
+    nodes, conflict = relations(spark, sf)
     return nodes, conflict, *cut(spark, lattice.queries(nodes, conflict))
 
 
@@ -213,10 +212,15 @@ def context_totals(spark, sf):
     return one(cooc_counts(spark, sf), "lemma").join(one(cng_cooc(spark, sf), "cng")).join(one(cooc_samecng(spark, sf), "same", True))
 
 
-def all_pairs(counts: DataFrame) -> DataFrame:
-    """Pairs of the distinct keys; keys are brands or classes, a fixed vocabulary."""
-    keys = counts.select("a").distinct()
-    return keys.join(F.broadcast(keys.withColumnRenamed("a", "b")))
+#: Keys up to this number are sent to all executors for the table of all their pairs; more of them are joined in blocks.
+BROADCAST_KEYS = 100_000
+
+
+def all_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs of the distinct keys (a): the table of a whole vocabulary, which is what the query returns."""
+    keys = keys.select("a").distinct()
+    other = keys.withColumnRenamed("a", "b")
+    return keys.crossJoin(F.broadcast(other) if other.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else other)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -225,31 +229,36 @@ def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
 
 @query("kn_w2w", answer("SELECT a, b, round(p, 9) AS p FROM kn"), kn_sql("kn", "cooc"))
 def kn_w2w(spark, sf):
-    c = cooc_counts(spark, sf)
+    (c,) = cut(spark, cooc_counts(spark, sf))
     return rounded(stats.smoothed(all_pairs(c), c).select("a", "b", "p"), "p")
 
 
 @query("kn_cng", answer("SELECT a, b, round(p, 9) AS p FROM kn"), kn_sql("kn", "cngcooc", unseen="1.0::DOUBLE / 440000", pairs="(SELECT x.a, y.a AS b FROM (SELECT DISTINCT a FROM cngcooc UNION SELECT 'none') x, (SELECT DISTINCT a FROM cngcooc UNION SELECT 'none') y)"))
 def kn_cng(spark, sf):
-    c = cng_cooc(spark, sf)
+    (c,) = cut(spark, cng_cooc(spark, sf))
     keys = c.select("a").distinct().unionByName(spark.createDataFrame([("none",)], "a string"))
-    return rounded(stats.smoothed(keys.join(F.broadcast(keys.withColumnRenamed("a", "b"))), c, unseen=1 / 440000).select("a", "b", "p"), "p")
+    return rounded(stats.smoothed(all_pairs(keys), c, unseen=1 / 440000).select("a", "b", "p"), "p")
 
 
 @query("kn_samecng", answer("SELECT a, b, round(p, 9) AS p FROM kn"), kn_sql("kn", "samecooc", halve=True))
 def kn_samecng(spark, sf):
-    c = cooc_samecng(spark, sf)
+    (c,) = cut(spark, cooc_samecng(spark, sf))
     return rounded(stats.smoothed(all_pairs(c), c, halve=True).select("a", "b", "p"), "p")
 
 
 @query("kn_mass", answer("SELECT a, round(sum(p), 9) AS mass FROM kn GROUP BY a"), kn_sql("kn", "cooc"))
 def kn_mass(spark, sf):
-    c = cooc_counts(spark, sf)
-    return rounded(stats.smoothed(all_pairs(c), c).groupBy("a").agg(F.sum("p").alias("mass")), "mass")
+    return rounded(stats.mass(*cut(spark, cooc_counts(spark, sf))), "mass")
+
+
+def relations(spark, sf):
+    """nodes and conflict, computed once."""
+    (nodes,) = cut(spark, s.nodes(spark, sf))
+    return nodes, *cut(spark, lattice.conflicts(nodes, s.rules(spark)))
 
 
 def edges_of(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict = relations(spark, sf)
     return nodes, conflict, stats.edges_smoothed(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict)
 
 
@@ -260,19 +269,19 @@ def edges_w2w(spark, sf):
 
 @query("edges_cng", answer("SELECT sent_id, src, dst, round(p, 9) AS p FROM edges_cng"), EDGES_CNG)
 def edges_cng(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict = relations(spark, sf)
     return rounded(stats.edges_smoothed(nodes, "cng", stats.cooccurrences(nodes, "cng"), conflict, unseen=1 / 440000), "p")
 
 
 @query("edges_raw", answer("SELECT sent_id, src, dst, round(p, 9) AS p FROM raw"), RAW)
 def edges_raw(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict = relations(spark, sf)
     return rounded(stats.edges_raw(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict), "p")
 
 
 @query("edges_competing_removed", answer("SELECT sent_id, count(*) AS n FROM open_edges GROUP BY sent_id"), EDGES)
 def edges_competing_removed(spark, sf):
-    nodes, conflict = of(spark, sf)
+    nodes, conflict = relations(spark, sf)
     open_pairs = stats.node_pairs(nodes, "lemma").join(conflict.select("sent_id", F.col("n1").alias("src"), F.col("n2").alias("dst")), ["sent_id", "src", "dst"], "left_anti")
     return open_pairs.groupBy("sent_id").agg(F.count("*").alias("n"))
 
@@ -344,12 +353,19 @@ def shortest_paths(spark, sf):
     return walk.closure(*cut(spark, edges_of(spark, sf)[2]), 2).select("sent_id", "src", "dst", F.round(F.log("d"), 6).alias("log_d"))
 
 
-@query("greedy_predict")
-def greedy_predict(spark, sf):
+@query("greedy_trace")
+def greedy_trace(spark, sf):
     nodes, conflict, q = base(spark, sf)
     counts, same, cng = stats.cooccurrences(nodes, "lemma"), stats.cooccurrences(nodes, "lemma", same="cng"), stats.cooccurrences(nodes, "cng")
     edges = [stats.edges_smoothed(nodes, "lemma", counts, conflict), stats.edges_smoothed(nodes, "cng", cng, conflict, unseen=1 / 440000), stats.edges_smoothed(nodes, "lemma", same, conflict, halve=True)]
-    return walk.predict(nodes, conflict, q, edges, [1 / 3] * 3)
+    return walk.trace(nodes, conflict, q, edges, [1 / 3] * 3)
+
+
+def greedy_predict(spark, sf):
+    return walk.chosen(greedy_trace(spark, sf))
+
+
+query("greedy_predict")(greedy_predict)
 
 
 @query("greedy_accuracy")
@@ -479,10 +495,15 @@ def apply_replacements(spark, sf):
     return quality.replaced(gold, older.unionByName(last)).select("sent_id", "chunk_id", "lemma", "cng")
 
 
-@query("insert_missing", answer("SELECT sent_id, chunk_id, pos, surface, lemma, cng FROM nodes UNION ALL SELECT g.sent_id, g.chunk_id, 0, left(g.lemma, 3), g.lemma, g.cng FROM guess g WHERE NOT EXISTS (SELECT 1 FROM gold n WHERE n.sent_id = g.sent_id AND n.chunk_id = g.chunk_id AND n.lemma = g.lemma)"))
+NAMES = "names AS (SELECT sent_id, chunk_id, string_agg(surface, '' ORDER BY node_id) AS name FROM nodes GROUP BY ALL), places AS (SELECT sent_id, chunk_id, lemma, min(pos) AS pos FROM nodes GROUP BY ALL),\n"
+
+
+@query("insert_missing", answer("""SELECT sent_id, chunk_id, pos, surface, lemma, cng FROM nodes UNION ALL
+  SELECT g.sent_id, g.chunk_id, 0, substr(m.name, 1, a.pos), g.lemma, g.cng FROM guess g JOIN names m ON m.sent_id = g.sent_id AND m.chunk_id = g.chunk_id JOIN gold n ON n.sent_id = g.sent_id AND n.chunk_id = g.chunk_id JOIN places a ON a.sent_id = g.sent_id AND a.chunk_id = g.chunk_id AND a.lemma = n.lemma WHERE n.lemma <> g.lemma"""), NAMES)
 def insert_missing(spark, sf):
-    lacking = s.predicted(spark, sf).join(s.gold(spark, sf).select(*quality.LEMMA), quality.LEMMA, "left_anti")
-    return quality.inserted(s.nodes(spark, sf), lacking.withColumns({"pos": F.lit(0), "surface": F.substring("lemma", 1, 3)}))
+    nodes, gold = s.nodes(spark, sf), s.gold(spark, sf).select("sent_id", "chunk_id", F.col("lemma").alias("next"))
+    lacking = s.predicted(spark, sf).join(gold, ["sent_id", "chunk_id"]).where("lemma <> next").withColumn("p", F.lit(0))
+    return quality.inserted(nodes, quality.sliced(nodes, lacking).withColumn("pos", F.col("p")))
 
 
 def listing(spark, sf, condition: str, place: str):
@@ -623,18 +644,23 @@ def describe(spark, sf):
 
 
 HOPS = "ev AS (SELECT DISTINCT kind, key, sent_id FROM (SELECT '1' AS kind, lemma AS key, sent_id FROM nodes UNION ALL SELECT '2', cng, sent_id FROM nodes UNION ALL SELECT '3', lemma || '_' || cng, sent_id FROM nodes)),\nhop AS MATERIALIZED (SELECT x.kind AS k1, x.key AS x, y.kind AS k2, y.key AS y, count(*)::DOUBLE / any_value(c.n) AS p FROM ev x JOIN ev y ON x.sent_id = y.sent_id JOIN (SELECT kind, key, count(*) AS n FROM ev GROUP BY ALL) c ON c.kind = x.kind AND c.key = x.key GROUP BY x.kind, x.key, y.kind, y.key),\n"
-CODES = ["111", "122", "212"]
+CODES = paths.PATHS
 
 
 def feature_sql(codes: list[str]) -> str:
     key = {"1": "{t}.lemma", "2": "{t}.cng", "3": "{t}.lemma || '_' || {t}.cng"}
-    joins, values = "", []
-    for i, c in enumerate(codes):
-        a, b, d = (key[x].format(t=t) for x, t in zip(c, ("l", "m", "r"), strict=True))
-        joins += f" LEFT JOIN hop h{i} ON h{i}.k1 = '{c[0]}' AND h{i}.x = {a} AND h{i}.k2 = '{c[1]}' AND h{i}.y = {b} LEFT JOIN hop g{i} ON g{i}.k1 = '{c[1]}' AND g{i}.x = {b} AND g{i}.k2 = '{c[2]}' AND g{i}.y = {d}"
-        values.append(f"sum(coalesce(h{i}.p, 0) * coalesce(g{i}.p, 0)) AS f{c}")
-    sums = f"SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, {', '.join(values)} FROM compat p JOIN compat q ON q.sent_id = p.sent_id AND q.n1 = p.n2 AND q.n2 <> p.n1 JOIN nodes m ON m.sent_id = p.sent_id AND m.node_id = q.n2 AND m.is_verb JOIN nodes l ON l.sent_id = p.sent_id AND l.node_id = p.n1 JOIN nodes r ON r.sent_id = p.sent_id AND r.node_id = p.n2{joins} WHERE p.n1 < p.n2 GROUP BY ALL"
-    return f"sums AS ({sums}),\nfeature AS MATERIALIZED (SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, {', '.join(f'coalesce(s.f{c}, 0) AS f{c}' for c in codes)} FROM compat p LEFT JOIN sums s ON s.sent_id = p.sent_id AND s.li = p.n1 AND s.ri = p.n2 WHERE p.n1 < p.n2),\n"
+    joins = ""
+    for first, second in (("l", "m"), ("m", "r")):
+        at = (0, 1) if first == "l" else (1, 2)
+        for a, b in sorted({(c[at[0]], c[at[1]]) for c in codes}):
+            t = f"h{first}{a}{second}{b}"
+            joins += f" LEFT JOIN hop {t} ON {t}.k1 = '{a}' AND {t}.x = {key[a].format(t=first)} AND {t}.k2 = '{b}' AND {t}.y = {key[b].format(t=second)}"
+    values = [f"sum(coalesce(hl{c[0]}m{c[1]}.p, 0) * coalesce(hm{c[1]}r{c[2]}.p, 0)) AS f{c}" for c in codes]
+    triples = "compat p JOIN compat q ON q.sent_id = p.sent_id AND q.n1 = p.n2 AND q.n2 <> p.n1 JOIN nodes m ON m.sent_id = p.sent_id AND m.node_id = q.n2 AND m.is_verb"
+    ends = "JOIN nodes l ON l.sent_id = p.sent_id AND l.node_id = p.n1 JOIN nodes r ON r.sent_id = p.sent_id AND r.node_id = p.n2"
+    sums = f"SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, {', '.join(values)} FROM {triples} {ends}{joins} WHERE p.n1 < p.n2 GROUP BY ALL"
+    shown = ", ".join(f"coalesce(s.f{c}, 0) AS f{c}" for c in codes)
+    return f"sums AS ({sums}),\nfeature AS MATERIALIZED (SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, {shown} FROM compat p LEFT JOIN sums s ON s.sent_id = p.sent_id AND s.li = p.n1 AND s.ri = p.n2 WHERE p.n1 < p.n2),\n"
 
 
 FEATURE = HOPS + feature_sql(CODES)
@@ -656,29 +682,6 @@ def path_features(spark, sf):
     return rounded(paths.features(nodes, lattice.compatible(nodes, conflict), CODES), *(f"f{c}" for c in CODES), digits=8)
 
 
-@query("path_features_all")
-def path_features_all(spark, sf):
-    nodes, conflict, q = base(spark, sf)
-    return paths.features(nodes, lattice.compatible(nodes, conflict), paths.PATHS)
-
-
-WEIGHTS = {"f111": 0.5, "f122": 0.3, "f212": 0.2}
-
-
-@query("pcrw_rank", answer("SELECT n.sent_id, n.node_id, round(coalesce(sum(0.5::DOUBLE * f111 + 0.3::DOUBLE * f122 + 0.2::DOUBLE * f212), 0), 7) AS score FROM nodes n LEFT JOIN (SELECT f.* FROM feature f JOIN query q ON q.sent_id = f.sent_id AND q.node_id = f.li) f ON f.sent_id = n.sent_id AND f.ri = n.node_id WHERE NOT EXISTS (SELECT 1 FROM query q WHERE q.sent_id = n.sent_id AND q.node_id = n.node_id) GROUP BY n.sent_id, n.node_id"), FEATURE)
-def pcrw_rank(spark, sf):
-    nodes, conflict, q = base(spark, sf)
-    feature = paths.features(nodes, lattice.compatible(nodes, conflict), CODES)
-    return rounded(paths.path_ranking(nodes, q, feature, WEIGHTS), "score", digits=7)
-
-
-@query("constant_columns", answer(" UNION ALL ".join(f"SELECT 'f{c}' AS \"column\", round(min(f{c}), 8) AS low, round(max(f{c}), 8) AS high, NOT (min(f{c}) = 0 AND max(f{c}) = 0) AS live FROM feature" for c in CODES)), FEATURE)
-def constant_columns(spark, sf):
-    nodes, conflict, q = base(spark, sf)
-    feature = paths.features(nodes, lattice.compatible(nodes, conflict), CODES)
-    return rounded(paths.live_columns(feature, [f"f{c}" for c in CODES]), "low", "high", digits=8)
-
-
 @query("short_scores_nouns", answer("SELECT p.sent_id, p.n1 AS li, p.n2 AS ri, round(coalesce(x.n, 0)::DOUBLE / c.n, 9) AS f400 FROM compat p JOIN nodes a ON a.sent_id = p.sent_id AND a.node_id = p.n1 AND NOT a.is_verb JOIN nodes b ON b.sent_id = p.sent_id AND b.node_id = p.n2 AND NOT b.is_verb JOIN cooc c ON c.a = a.lemma AND c.b = b.lemma LEFT JOIN samecooc x ON x.a = a.lemma AND x.b = b.lemma WHERE p.n1 < p.n2"))
 def short_scores_nouns(spark, sf):
     nodes, conflict = of(spark, sf)
@@ -728,15 +731,6 @@ def cosine_pairs(spark, sf):
     return e.join(other, "vec_id").select(F.col("vec_id").alias("v1"), "v2", F.round(text.cosine(F.col("embedding"), F.col("e2")), 6).alias("cosine"))
 
 
-@query("logreg_weights")
-def logreg_weights(spark, sf):
-    nodes, conflict, q = base(spark, sf)
-    feature = paths.features(nodes, lattice.compatible(nodes, conflict), paths.PATHS)
-    flags = flagged(spark, sf)
-    rows = feature.join(flags.select("sent_id", F.col("node_id").alias("li"), F.col("flag").alias("f1")), ["sent_id", "li"]).join(flags.select("sent_id", F.col("node_id").alias("ri"), F.col("flag").alias("f2")), ["sent_id", "ri"]).withColumn("flag", F.col("f1") * F.col("f2"))
-    return learn.logistic_weights(learn.folds(rows, 4, ["sent_id", "li", "ri"]), [f"f{c}" for c in paths.PATHS], "flag")
-
-
 @query("word2vec")
 def word2vec(spark, sf):
     sentences = s.gold(spark, sf).groupBy("sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "lemma"))), lambda x: x["lemma"]).alias("words"))
@@ -759,28 +753,14 @@ def fill_missing(spark, sf):
     return audits.filled(senses, gold.select("sent_id", "chunk_id", F.transform("all", lambda x: x["lemma"]).alias("lemmas"), F.transform("all", lambda x: x["cng"]).alias("forms")))
 
 
-def scored(spark, sf):
-    """Nodes with the scores of two walks and their blend."""
-    nodes, conflict, q = base(spark, sf)
-    one = stats.edges_smoothed(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict)
-    two = stats.edges_smoothed(nodes, "cng", stats.cooccurrences(nodes, "cng"), conflict, unseen=1 / 440000)
-    a, b = (walk.walk_steps(nodes, e, q, STEPS) for e in cut(spark, one, two))
-    rows = nodes.join(a.withColumnRenamed("score", "w2w"), ["sent_id", "node_id"]).join(b.withColumnRenamed("score", "t2t"), ["sent_id", "node_id"])
-    return q, rows.withColumn("blend", F.col("w2w") + F.col("t2t"))
-
-
 @query("training_rows")
 def training_rows(spark, sf):
-    q, rows = scored(spark, sf)
-    return audits.training_rows(rows, q, s.gold(spark, sf), ["w2w", "t2t"], "blend")
+    return audits.training_steps(greedy_trace(spark, sf), s.gold(spark, sf), ["w2w", "t2t", "scng"])
 
 
 @query("learned_shares")
 def learned_shares(spark, sf):
-    _, rows = scored(spark, sf)
-    known = s.gold(spark, sf).select("sent_id", "lemma").distinct().withColumn("hit", F.lit(1))
-    flags = rows.join(known, ["sent_id", "lemma"], "left").withColumn("flag", F.coalesce("hit", F.lit(0)))
-    return audits.learned_shares(flags, "flag", ["w2w", "t2t"], 0.1)
+    return audits.learned_shares(audits.step_moves(greedy_trace(spark, sf), s.gold(spark, sf), 3), 3, 0.1)
 
 
 @query("selection_export")

@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.plans.session import copartitioned
+
 #: Junction rules (end of the left word, start of the right word, length of the result).
 RULES = [("g", "b", 1), ("n", "r", 1), ("d", "h", 1), ("g", "s", 2), ("od", "b", 2), ("ng", "r", 2), ("ar", "c", 2), ("t", "sm", 2), ("g", "bl", 3), ("t", "h", 1)]
 VERB = "RF"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    copartitioned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
