@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.plans.session import checkpointed
+
 
 def cooccurrences(nodes: DataFrame, key: str, same: str | None = None, left: str = "true") -> DataFrame:
     """a, b, n: how often two places of a sentence hold a and b; same: only where this column agrees too."""
@@ -35,14 +37,28 @@ def contexts(counts: DataFrame, halve: bool = False) -> DataFrame:
     return counts.agg((F.floor(n / 2) if halve else n).cast("bigint").alias("contexts"))
 
 
+#: Counts of pairs up to this number are sent to all executors; more of them are joined by a shuffle.
+BROADCAST_COUNTS = 500_000
+
+
+def sized(counts: DataFrame) -> tuple:
+    """counts, computed once, and how to join with them: by broadcast only if they are few."""
+    checkpointed(counts.sparkSession)
+    counts = counts.checkpoint()
+    return counts, F.broadcast if counts.count() <= BROADCAST_COUNTS else lambda df: df
+
+
 def smoothed(pairs: DataFrame, counts: DataFrame, halve: bool = False, unseen: float | None = None) -> DataFrame:
     """pairs (a, b) with p: absolute discounting by 0.5, what is left goes to b by its distinct partners.
 
     unseen: the probability where a or b was never counted; None leaves it at the formula's value with zero counts.
     """
+    counts, sent = sized(counts)
     m = margins(counts)
     total = contexts(counts, halve)
-    out = pairs.join(counts, ["a", "b"], "left").join(m.select("a", F.col("partners").alias("pa"), F.col("total").alias("ta")), "a", "left").join(m.select(F.col("a").alias("b"), F.col("partners").alias("pb")), "b", "left").join(F.broadcast(total))
+    first = m.select("a", F.col("partners").alias("pa"), F.col("total").alias("ta"))
+    second = m.select(F.col("a").alias("b"), F.col("partners").alias("pb"))
+    out = pairs.join(sent(counts), ["a", "b"], "left").join(sent(first), "a", "left").join(sent(second), "b", "left").join(F.broadcast(total))
     return with_probability(out, unseen)
 
 
@@ -116,7 +132,8 @@ def edges_smoothed(nodes: DataFrame, key: str, counts: DataFrame, conflict: Data
 def edges_raw(nodes: DataFrame, key: str, counts: DataFrame, conflict: DataFrame) -> DataFrame:
     """Transition probabilities from plain counts; a node without any goes to all others of the sentence alike."""
     open_pairs = node_pairs(nodes, key).join(conflict.select("sent_id", F.col("n1").alias("src"), F.col("n2").alias("dst")), ["sent_id", "src", "dst"], "left_anti")
-    counted = open_pairs.join(counts, ["a", "b"], "left").select("sent_id", "src", "dst", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("p"))
+    counts, sent = sized(counts)
+    counted = open_pairs.join(sent(counts), ["a", "b"], "left").select("sent_id", "src", "dst", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("p"))
     known = normalised(counted)
     bare = nodes.select("sent_id", F.col("node_id").alias("src")).join(known.select("sent_id", "src").distinct(), ["sent_id", "src"], "left_anti")
     size = nodes.groupBy("sent_id").agg(F.count("*").alias("n_nodes"))
