@@ -225,23 +225,23 @@ def all_pairs(keys: DataFrame) -> DataFrame:
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     """Columns rounded for comparison; values that lie on an edge but for the order of a sum go up."""
-    return df.withColumns({c: F.round(F.col(c) + F.lit(1e-12), digits) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) + F.lit(3e-16), digits) for c in columns})
 
 
-@query("kn_w2w", answer("SELECT a, b, round(p, 9) AS p FROM kn"), kn_sql("kn", "cooc"))
+@query("kn_w2w", answer("SELECT a, b, round(p + 3e-16, 9) AS p FROM kn"), kn_sql("kn", "cooc"))
 def kn_w2w(spark, sf):
     (c,) = cut(spark, cooc_counts(spark, sf))
     return rounded(stats.smoothed(all_pairs(c), c).select("a", "b", "p"), "p")
 
 
-@query("kn_cng", answer("SELECT a, b, round(p, 9) AS p FROM kn"), kn_sql("kn", "cngcooc", unseen="1.0::DOUBLE / 440000", pairs="(SELECT x.a, y.a AS b FROM (SELECT DISTINCT a FROM cngcooc UNION SELECT 'none') x, (SELECT DISTINCT a FROM cngcooc UNION SELECT 'none') y)"))
+@query("kn_cng", answer("SELECT a, b, round(p + 3e-16, 9) AS p FROM kn"), kn_sql("kn", "cngcooc", unseen="1.0::DOUBLE / 440000", pairs="(SELECT x.a, y.a AS b FROM (SELECT DISTINCT a FROM cngcooc UNION SELECT 'none') x, (SELECT DISTINCT a FROM cngcooc UNION SELECT 'none') y)"))
 def kn_cng(spark, sf):
     (c,) = cut(spark, cng_cooc(spark, sf))
     keys = c.select("a").distinct().unionByName(spark.createDataFrame([("none",)], "a string"))
     return rounded(stats.smoothed(all_pairs(keys), c, unseen=1 / 440000).select("a", "b", "p"), "p")
 
 
-@query("kn_samecng", answer("SELECT a, b, round(p, 9) AS p FROM kn"), kn_sql("kn", "samecooc", halve=True))
+@query("kn_samecng", answer("SELECT a, b, round(p + 3e-16, 9) AS p FROM kn"), kn_sql("kn", "samecooc", halve=True))
 def kn_samecng(spark, sf):
     (c,) = cut(spark, cooc_samecng(spark, sf))
     return rounded(stats.smoothed(all_pairs(c), c, halve=True).select("a", "b", "p"), "p")
@@ -263,18 +263,18 @@ def edges_of(spark, sf):
     return nodes, conflict, stats.edges_smoothed(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict)
 
 
-@query("edges_w2w", answer("SELECT sent_id, src, dst, round(p, 9) AS p FROM edges"), EDGES)
+@query("edges_w2w", answer("SELECT sent_id, src, dst, round(p + 3e-16, 9) AS p FROM edges"), EDGES)
 def edges_w2w(spark, sf):
     return rounded(edges_of(spark, sf)[2], "p")
 
 
-@query("edges_cng", answer("SELECT sent_id, src, dst, round(p, 9) AS p FROM edges_cng"), EDGES_CNG)
+@query("edges_cng", answer("SELECT sent_id, src, dst, round(p + 3e-16, 9) AS p FROM edges_cng"), EDGES_CNG)
 def edges_cng(spark, sf):
     nodes, conflict = relations(spark, sf)
     return rounded(stats.edges_smoothed(nodes, "cng", stats.cooccurrences(nodes, "cng"), conflict, unseen=1 / 440000), "p")
 
 
-@query("edges_raw", answer("SELECT sent_id, src, dst, round(p, 9) AS p FROM raw"), RAW)
+@query("edges_raw", answer("SELECT sent_id, src, dst, round(p + 3e-16, 9) AS p FROM raw"), RAW)
 def edges_raw(spark, sf):
     nodes, conflict = relations(spark, sf)
     return rounded(stats.edges_raw(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict), "p")
@@ -672,7 +672,7 @@ def evidence_counts(spark, sf):
     return paths.cardinalities(paths.evidence(s.nodes(spark, sf)))
 
 
-@query("path_steps", answer("SELECT k1, x, k2, y, round(p, 9) AS p FROM hop"), HOPS)
+@query("path_steps", answer("SELECT k1, x, k2, y, round(p + 3e-16, 9) AS p FROM hop"), HOPS)
 def path_steps(spark, sf):
     return rounded(paths.transitions(paths.evidence(s.nodes(spark, sf))), "p")
 
