@@ -182,9 +182,14 @@ class Phrases:
         return (np.concatenate(out_w), np.concatenate(out_p)) if out_w else none
 
     def near(self, keys: np.ndarray, cf: np.ndarray, slop: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, rarest-term positions around which every word of the window stands within length + slop in the same
-        document, and the nearest position of each word (-1 beyond the window's length). Documents by start and length."""
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, self.widest), np.int64))]
+        """Proximity matches: a window and a document of which some length + slop consecutive words hold every word of the
+        window, in any order. Returns their windows, a position inside each, and the places of the windows' words in all
+        such runs of words. Documents by start and length.
+
+        Each such run holds the window's rarest term, so that looking around its positions finds all of them, whichever
+        term is the rarest in a segment.
+        """
+        found, at, places = ([np.empty(0, np.int64)] for _ in range(3))
         for s in range(0, len(self.start) if len(keys) else 0, WINDOWS):
             start, length = self.start[s : s + WINDOWS], self.length[s : s + WINDOWS]
             offsets = np.arange(self.widest)
@@ -198,24 +203,43 @@ class Phrases:
                 g = np.repeat(np.arange(a, b), n[a:b])
                 p = keys[np.arange(len(g)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + lo[g]] & 0xFFFFFFFF
                 d = np.searchsorted(starts, p, "right") - 1
-                low = np.maximum(p - length[g] - slop, starts[d])
-                high = np.minimum(p + length[g] + slop, starts[d] + lengths[d] - 1)
+                reach = length[g] + slop - 1
+                low, high = np.maximum(p - reach, starts[d]), np.minimum(p + reach, starts[d] + lengths[d] - 1)
                 for r in range(1, self.widest):
                     t = terms[g, r] << 32
                     i = np.minimum(np.searchsorted(keys, t | low), len(keys) - 1)
                     keep = (length[g] <= r) | (keys[i] >= t | low) & (keys[i] <= t | high)
                     g, p, low, high = g[keep], p[keep], low[keep], high[keep]
-                places = np.full((len(g), self.widest), -1)
+                # runs[k, j]: the run that starts j words before p[k] has every word so far.
+                reach = length[g] + slop - 1
+                runs = np.arange(self.widest + slop) <= reach[:, None]
                 for r in range(self.widest):
-                    live = np.flatnonzero(length[g] > r)
-                    t, own = terms[g[live], r] << 32, p[live]
-                    i = np.searchsorted(keys, t | own)
-                    after, before = keys[np.minimum(i, len(keys) - 1)] - t, keys[np.maximum(i - 1, 0)] - t
-                    right = (after >= own) & (after <= high[live])
-                    left = (before < own) & (before >= low[live])
-                    places[live, r] = np.where(right & (~left | (after - own <= own - before)), after, before)
-                out.append((s + alive[g], p, places))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                    has = (length[g] <= r)[:, None] & runs
+                    for k, _, own in self.inside(keys, terms, length, g, p, low, high, reach, r, runs.shape[1]):
+                        has[k] |= own
+                    runs &= has
+                good = runs.any(axis=1)
+                g, p, low, high, reach, runs = (x[good] for x in (g, p, low, high, reach, runs))
+                for r in range(self.widest):
+                    places += [o[(own & runs[k]).any(axis=1)] for k, o, own in self.inside(keys, terms, length, g, p, low, high, reach, r, runs.shape[1])]
+                found.append(s + alive[g])
+                at.append(p)
+        return np.concatenate(found), np.concatenate(at), np.unique(np.concatenate(places))
+
+    @staticmethod
+    def inside(keys, terms, length, g, p, low, high, reach, r, width) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Occurrences of the r-th term of some candidates from low to high, the first of each, then the second, and so on:
+        candidates, positions, and which runs (by how many words before p they start) hold them."""
+        k, j = np.flatnonzero(length[g] > r), np.arange(width)
+        i = np.searchsorted(keys, terms[g[k], r] << 32 | low[k])
+        while len(k):
+            t = terms[g[k], r] << 32
+            here = (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= t | high[k])
+            k, i = k[here], i[here]
+            o = keys[i] - t[here]
+            ahead = (p[k] - o)[:, None]
+            yield k, o, (j >= ahead) & (j <= ahead + reach[k][:, None])
+            i = i + 1
 
 
 def steps(n: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -259,9 +283,8 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
                     w, q, places = ph.near(keys, cf, slop, starts, lengths)
                     for d, i in np.unique(np.stack([np.searchsorted(starts, q, "right") - 1, ph.item[w]], axis=1), axis=0).tolist():
                         near[d].add(ph.names[i])
-                    at = np.unique(places[places >= 0])
-                    doc = np.searchsorted(starts, at, "right") - 1
-                    for d, s, e in merged(doc, at - starts[doc], np.ones(len(at), np.int64)):
+                    doc = np.searchsorted(starts, places, "right") - 1
+                    for d, s, e in merged(doc, places - starts[doc], np.ones(len(places), np.int64)):
                         near_spans[d].append({"start": s, "end": e})
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array([row["part"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(lengths), pa.array([spans.get(d, []) for d in range(n)], span), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())), pa.array([sorted(near.get(d, ())) for d in range(n)], pa.list_(pa.string())), pa.array([near_spans.get(d, []) for d in range(n)], span)], schema=schema)
@@ -304,9 +327,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """Finds test items in training documents.
 
     Returns for each document doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items (sorted
-    item_ids as strings), spans (word ranges that are hit), near (items with a window whose words all stand in the
-    document within window + slop words of its rarest word), near_spans (where these words stand), n_near (how many
-    stand there), all empty unless slop is given, and contaminated: n_hit > 0 and share * n_hit >= n_words.
+    item_ids as strings), spans (word ranges that are hit), near (items with a window whose distinct words all
+    stand, in any order, in a run of the window's length + slop consecutive words of the document), near_spans (where the
+    window's words stand in all such runs), n_near (how many stand there), all empty unless slop is given, and contaminated: n_hit > 0 and share * n_hit >= n_words.
     """
     spark = documents.sparkSession
     prepare(spark)
@@ -343,3 +366,36 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near").cast("bigint").alias("n_near_items"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"), "n_near")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+x AS (
+  SELECT DISTINCT item, least(13, len(w)) AS l, w[i:i + least(13, len(w)) - 1] AS v
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) u(i) WHERE len(w) > 0),
+word AS (SELECT r, p, w[p] AS t FROM d, unnest(range(1, len(w) + 1)) u(p)),
+exact AS (
+  SELECT r, i, x.l, item FROM (SELECT r, i, l, md5(array_to_string(w[i:i + l - 1], ' ')) AS k FROM d, (SELECT DISTINCT l FROM x) z, unnest(range(1, len(w) - l + 2)) u(i)) o
+  JOIN x ON x.l = o.l AND md5(array_to_string(x.v, ' ')) = o.k),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, l FROM exact), unnest(range(i, i + l)) u(p) GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM exact) GROUP BY r),
+freq AS (SELECT t, count(*) AS n FROM word GROUP BY t),
+y AS (SELECT row_number() OVER (ORDER BY item, v) AS x, item, l + 3 AS l, list_distinct(v) AS v FROM x),
+rare AS (
+  SELECT x, arg_min(t, struct_pack(n := n, t := t)) AS t FROM (SELECT x, e.t, coalesce(n, 0) AS n FROM (SELECT x, unnest(v) AS t FROM y) e LEFT JOIN freq USING (t)) GROUP BY x HAVING min(n) > 0),
+wide AS (
+  SELECT y.x, item, l, v, d.r, w, p FROM rare JOIN y USING (x) JOIN word ON word.t = rare.t JOIN d ON d.r = word.r
+  WHERE list_has_all(w[greatest(p - l + 1, 1):p + l - 1], v)),
+run AS (SELECT DISTINCT x, item, l, v, r, w, i FROM wide, unnest(range(greatest(p - l + 1, 1), p + 1)) u(i) WHERE list_has_all(w[i:i + l - 1], v)),
+near AS (SELECT r, count(DISTINCT p) AS n_near FROM run, unnest(range(i, least(i + l, len(w) + 1))) u(p) WHERE list_contains(v, w[p]) GROUP BY r),
+close AS (SELECT r, count(*) AS n_near_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM run) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(item.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items, sha256(coalesce(close.items, '')) AS near_sha256, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r) LEFT JOIN near USING (r) LEFT JOIN close USING (r)
+"""
