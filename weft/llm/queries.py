@@ -14,4 +14,4 @@ QUERIES = {
     "op9_mix": mixing.op9_mix,
     "op10_surrogates": surrogates.op10_surrogates,
 }
-SQL = {"op3_topk": topk.OP3_SQL, "op8_chat": chat.OP8_SQL, "op9_mix": mixing.OP9_SQL}
+SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op3_topk": topk.OP3_SQL, "op5_repeats": substrings.OP5_SQL, "op6_similar": similar.OP6_SQL, "op8_chat": chat.OP8_SQL, "op9_mix": mixing.OP9_SQL}

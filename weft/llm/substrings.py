@@ -222,3 +222,16 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, texts: bool = Tru
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT r, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM d, unnest(range(1, len(w) - 18)) u(i)),
+late AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS nth FROM t) WHERE nth > 1),
+gone AS (SELECT DISTINCT r, p FROM late, unnest(range(i, i + 20)) u(p)),
+word AS (SELECT r, p, w[p] AS t, gone.p IS NOT NULL AS out FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d) LEFT JOIN gone USING (r, p)),
+kept AS (SELECT r, count(*) AS n_words, count(*) FILTER (WHERE out) AS n_removed, string_agg(t, ' ' ORDER BY p) FILTER (WHERE NOT out) AS kept FROM word GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
