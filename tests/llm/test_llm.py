@@ -4,9 +4,11 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -506,6 +508,59 @@ def test_pipeline_drops_near_copies_from_80_percent(spark, monkeypatch, short):
     assert kept == {i for i in root if root[i] == i} and 1 < len(kept) < len(rows)
 
 
+def open_runs(runs, n):
+    """Runs of the same n members, half of them in one component, as a batch of the second round."""
+    node, root = np.arange(n) * 7 - 900, np.where(np.arange(n) % 2, 1, 2 + np.arange(n) % 5)
+    points = pa.array(similar.packed(np.full((n, similar.DIMS), 2, np.uint32)) * runs, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(runs), n)), pa.array(np.tile(node, runs)), pa.array(np.tile(root, runs)), pa.array(np.full(n * runs, 64)), points], ["run", "node", "root", "size", "points"])
+    return batch, {(int(node[i]), int(node[j])) for i in range(n) for j in range(i) if root[i] != root[j]}
+
+
+def crossing_pairs(batch):
+    sent = list(similar.across(iter([batch]), 85))
+    return sent, {(max(x, y), min(x, y)) for b in sent for x, y in zip(*(v.tolist() for v in similar.pairs_of(pa.Table.from_batches([b]))), strict=True)}
+
+
+def test_op6_open_runs_of_a_family_are_held_once():
+    batch, want = open_runs(16, 1000)
+    tracemalloc.start()
+    sent = list(similar.across(iter([batch]), 85))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20  # 400 MB when each run's pairs were held
+    a, b = similar.pairs_of(pa.Table.from_batches(sent))
+    assert sum(len(x) // 8 for s in sent for x in s["bs"].to_pylist()) == len(a) == len(want)
+
+
+@pytest.mark.parametrize("n", [20, 200])
+def test_op6_open_runs_sent_in_pieces_lose_no_pair(monkeypatch, n):
+    batch, want = open_runs(3, n)
+    assert crossing_pairs(batch)[1] == want
+    monkeypatch.setattr(similar, "HELD", 100)
+    monkeypatch.setattr(similar, "FRESH", 30)
+    sent, got = crossing_pairs(batch)
+    assert got == want and len(sent) > 1
+
+
+def test_op6_runs_of_keys():
+    rng = np.random.default_rng(5)
+    keys, owner = rng.integers(0, 3, (500, 5)).astype(np.uint8), rng.integers(0, 9, 500).astype(np.uint32)
+    want = sorted({(sum(int(x) << 8 * k for k, x in enumerate(row)), int(o)) for row, o in zip(keys, owner, strict=True)})
+    for n in (9, 1 << 25):  # as one number, and as two
+        starts, members = similar.runs_of(keys, owner, n)
+        assert members.tolist() == [o for _, o in want]
+        assert starts.tolist() == [k for k in range(len(want)) if not k or want[k][0] != want[k - 1][0]]
+    assert [x.tolist() for x in similar.runs_of(keys[:0], owner[:0], 0)] == [[], []]
+
+
+def test_op6_portions_of_a_long_column(monkeypatch):
+    monkeypatch.setattr(similar, "SHARD_BYTES", 50)
+    column = [*(t.encode() for t in texts(20)), None, b"", b"a b c"]
+    got = similar.sets_by_portion(pa.chunked_array([pa.array([x and x.decode() for x in column], pa.string())]), 4)
+    for x, y in zip(got, similar.shingle_sets(column, 4), strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_tree_misses_no_partner():
     rng = np.random.default_rng(4)
     points = rng.poisson(5, (200, similar.DIMS)) + (rng.integers(0, 4, 200) * 3)[:, None]

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ LEAF = 16
 BROADCAST_ASKED = 1_000_000
 #: Members of open runs that one task looks at (a longer run has its own); cells that a search of one run tests at once.
 OPEN, TABLE = 1 << 18, 1 << 24
+#: Pairs of open runs that a task tells apart before it sends them on, and how many it takes up or sends at once.
+HELD, FRESH = 1 << 22, 1 << 20
 #: Halves of hashes that several classes may share (at 1e12 classes about 27,000 do).
 SHARED = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -75,12 +78,19 @@ def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.
     hashes = mix64(windows(own, width, BASES[0]))[at]
     short = np.flatnonzero((lengths > 0) & (lengths < width))
     whole = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[k]), 1) for k in short], np.uint64)
+    del words, number, own, at  # the sort needs room
     doc, hashes = np.concatenate([doc, short]), np.concatenate([hashes, whole])
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], np.bincount(doc[new], minlength=len(words))
+    return hashes[new], np.bincount(doc[new], minlength=len(lengths))
+
+
+def sets_by_portion(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What shingle_sets() gives for a column of any length, of which only a portion is held as words."""
+    done = [shingle_sets(as_bytes(part.column(0)), width) for batch in pa.table([texts], ["text"]).to_batches() for part in portions(batch, 0)]
+    return np.concatenate([np.empty(0, np.uint64), *(h for h, _ in done)]), np.concatenate([np.empty(0, np.int64), *(n for _, n in done)])
 
 
 def least_linked(percent: int) -> int:
@@ -187,7 +197,7 @@ class CountTree:
     """R-tree over count vectors, bulk-loaded by halving the members along their widest coordinate."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
-        self.points, self.sizes, self.percent = points.astype(np.int64), sizes, percent
+        self.points, self.sizes, self.percent = points, sizes, percent
         self.nodes: list[tuple] = []
         self.build(np.arange(len(points)))
 
@@ -205,8 +215,14 @@ class CountTree:
         return k
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) pairs whose overlap may reach what a link needs; the queries go down the tree together."""
-        out_q, out_m, todo = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [(0, np.asarray(queries))]
+        """(query, member) pairs whose overlap may reach what a link needs."""
+        none = np.empty(0, np.int64)
+        out = [(none, none), *self.leaves(queries)]
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+    def leaves(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """These pairs leaf by leaf; the queries go down the tree together."""
+        todo = [(0, np.asarray(queries))]
         while todo:
             node, q = todo.pop()
             high, least, members, kids = self.nodes[node]
@@ -218,9 +234,7 @@ class CountTree:
                 continue
             a, b = np.repeat(q, len(members)), np.tile(members, len(q))
             ok = may_link(self.points, self.sizes, a, b, self.percent)
-            out_q.append(a[ok])
-            out_m.append(b[ok])
-        return np.concatenate(out_q), np.concatenate(out_m)
+            yield a[ok], b[ok]
 
 
 def pairs_in(lengths: np.ndarray, starts: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,6 +253,27 @@ def pairs_in(lengths: np.ndarray, starts: np.ndarray, members: np.ndarray) -> tu
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def runs_of(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run starts, and the members of the runs, each once, in order; keys: five bytes each; owner: below n."""
+    code = np.zeros((len(keys), 8), np.uint8)
+    if n <= 1 << 24:  # key and owner fit one number, which is sorted where it is
+        code[:, 3:] = keys
+        code = code.view("<u8").ravel()
+        code |= owner
+        code.sort()
+        code = code[np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]])]
+        owner = (code & np.uint64((1 << 24) - 1)).astype(np.int64)
+        code >>= np.uint64(24)
+    else:
+        code[:, :5] = keys
+        code = code.view("<u8").ravel()
+        order = np.lexsort((owner, code))
+        code, owner = code[order], owner[order].astype(np.int64)
+        new = np.concatenate([np.ones(min(1, len(code)), bool), (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])
+        code, owner = code[new], owner[new]
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]])), owner
+
+
 def make(data: dict, schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     fields = [x.split(" ") for x in schema.split(", ")]
@@ -325,18 +360,11 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
                 yield from make(out, KEYS).to_batches()
 
     def meet(found: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(found["keys"].to_pylist()), np.uint8).reshape(-1, 5)
-        key = sum(raw[:, k].astype(np.int64) << (8 * k) for k in range(5))
         every = np.frombuffer(b"".join(found["docs"].to_pylist()), np.int64)
         ids, owner = np.unique(every, return_inverse=True)  # copies of other portions fall together
-        owner = np.repeat(owner, np.concatenate([unpack(x) for x in found["each"].to_pylist()]).astype(np.int64))
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, owner = key[new], owner[new]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        lengths = np.diff(np.append(starts, len(key)))
+        owner = np.repeat(owner.astype(np.uint32), np.concatenate([unpack(x) for x in found["each"].to_pylist()]).astype(np.int64))
+        starts, owner = runs_of(np.frombuffer(b"".join(found["keys"].to_pylist()), np.uint8).reshape(-1, 5), owner, len(ids))
+        lengths = np.diff(np.append(starts, len(owner)))
         a, b = pairs_in(lengths, starts, owner)
         code = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
         pairs = make(hubs(ids[code // max(1, len(ids))], ids[code % max(1, len(ids))]), MET)
@@ -373,11 +401,15 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     runs = met.where("members is not null").dropDuplicates(["run", "chunk"]).select("run", F.explode("members").alias("node"))
     rooted = runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")).checkpoint()
     is_open = rooted.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").checkpoint()
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return across(batches, percent)
+
     n_open = is_open.agg(F.sum("n")).first()[0] or 0
     if n_open:
         part = F.pmod(F.xxhash64("run"), F.lit(-(-n_open // OPEN))).alias("part")
         asked = rooted.join(is_open.select("run"), "run").join(points, "node").select(part, "run", "node", "root", "size", "points")
-        more = asked.groupBy("part").applyInArrow(lambda found: across(found, percent), PAIRS).checkpoint()
+        more = asked.groupBy("part").applyInArrow(crossing, PAIRS).checkpoint()
         more = neighbours(more).checkpoint()
         lacking = spread(placed(more, parts)).select("node").distinct().join(texts.select("node"), "node", "left_anti")
         both = texts.unionByName(fetch(lacking))
@@ -391,31 +423,62 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     return signed.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def across(found: pa.Table, percent: int) -> pa.Table:
-    """Pairs (a, bs) of open runs: members outside a run's largest component with all members of other components."""
+def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, bs) of open runs: members outside a run's largest component with all members of other components.
+
+    The runs of a family give the same pairs again and again. They are told apart while they come, so that a task holds
+    some HELD pairs; if it finds more, it sends those that it has and starts anew, and some go out twice.
+    """
+    found = pa.Table.from_batches(batches)
     run, node, root, sizes = (found[c].to_numpy() for c in ("run", "node", "root", "size"))
     points = unpacked(found["points"])
+    names, number = np.unique(node, return_inverse=True)
+    held, fresh, n = np.empty(0, np.int64), [], 0
+
+    def sent(codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(codes), FRESH):
+            part = codes[at : at + FRESH]
+            yield from make(hubs(names[part // len(names)], names[part % len(names)]), PAIRS).to_batches()
+
     order = np.lexsort((node, run))
-    edges = np.flatnonzero(np.diff(run[order])) + 1
-    firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for r in np.split(order, edges):
-        own, count = np.unique(root[r], return_counts=True)
-        minor = np.flatnonzero(root[r] != own[count.argmax()])
-        tree = CountTree(points[r], sizes[r], percent) if len(r) > 4 * LEAF else None
-        step = max(1, TABLE // len(r))
-        for at in range(0, len(minor), step):
-            block = minor[at : at + step]
-            if tree:
-                q, near = tree.search(block)
-            else:
-                q, near = np.repeat(block, len(r)), np.tile(np.arange(len(r)), len(block))
-                ok = may_link(points[r].astype(np.int64), sizes[r], q, near, percent)
-                q, near = q[ok], near[ok]
-            q, near = r[q], r[near]
-            keep = root[near] != root[q]
-            firsts.append(np.minimum(node[q[keep]], node[near[keep]]))
-            seconds.append(np.maximum(node[q[keep]], node[near[keep]]))
-    return make(hubs(*distinct(np.concatenate(firsts), np.concatenate(seconds))), PAIRS)
+    for r in np.split(order, np.flatnonzero(np.diff(run[order])) + 1):
+        for q, near in open_pairs(points[r], sizes[r], root[r], percent):
+            q, near = number[r[q]], number[r[near]]
+            fresh.append(np.minimum(q, near) * len(names) + np.maximum(q, near))
+            n += len(q)
+            if n >= FRESH:
+                held, fresh, n = merged(held, fresh), [], 0
+                if len(held) >= HELD:
+                    yield from sent(held)
+                    held = held[:0].copy()
+    yield from sent(merged(held, fresh))
+
+
+def open_pairs(points: np.ndarray, sizes: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one open run that may link, some at a time."""
+    own, which, count = np.unique(root, return_inverse=True, return_counts=True)
+    minor = np.flatnonzero(which != count.argmax())
+    tree = CountTree(points, sizes, percent) if len(root) > 4 * LEAF else None
+    step = max(1, TABLE // len(root))
+    for at in range(0, len(minor), step):
+        block = minor[at : at + step]
+        if tree:
+            near = tree.leaves(block)
+        else:
+            a, b = np.repeat(block, len(root)), np.tile(np.arange(len(root)), len(block))
+            ok = may_link(points, sizes, a, b, percent)
+            near = [(a[ok], b[ok])]
+        for a, b in near:
+            keep = root[a] != root[b]
+            if keep.any():
+                yield a[keep], b[keep]
+
+
+def merged(held: np.ndarray, fresh: list[np.ndarray]) -> np.ndarray:
+    """The sorted, distinct members of all."""
+    every = np.concatenate([held, *fresh])
+    every.sort()
+    return every[np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]])]
 
 
 def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -440,9 +503,9 @@ def one_per_id(signed: DataFrame, roots: DataFrame, several: DataFrame | None) -
     return named.join(joined, "component", "left").select("k1", "k2", F.coalesce("first", "component").alias("component"))
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about SHARD_BYTES of text."""
-    sizes = np.array([len(x or b"") for x in as_bytes(batch.column(1))], np.int64)
+def portions(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about SHARD_BYTES of text, which is in the given column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // SHARD_BYTES
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(edges, edges[1:], strict=False):
@@ -542,12 +605,12 @@ def verify(texts: DataFrame, pairs: DataFrame, parts: int, width: int, percent:
     sent = spread(dealt).join(texts, "node").select((F.col("v") + 0).alias("part"), "node", "text")
 
     def check(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        hashes, sizes = shingle_sets(as_bytes(texts["text"]), width)
+        hashes, sizes = sets_by_portion(texts["text"], width)
         ends = np.cumsum(sizes)
         of = {i: hashes[s:e] for i, s, e in zip(texts["node"].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True)}
         a, b = pairs_of(pairs)
-        found = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if linked(of[x], of[y], percent)]
-        return make({"a": [x for x, _ in found], "b": [y for _, y in found]}, "a bigint, b bigint")
+        ok = np.fromiter((linked(of[int(x)], of[int(y)], percent) for x, y in zip(a, b, strict=True)), bool, len(a))
+        return make({"a": a[ok], "b": b[ok]}, "a bigint, b bigint")
 
     return dealt.groupBy("v").cogroup(sent.groupBy("part")).applyInArrow(check, "a bigint, b bigint")
 
