@@ -1,7 +1,9 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, repeats, empty tables and extra columns."""
 
+import cProfile
 import hashlib
 import html
+import pstats
 import random
 import re
 import tracemalloc
@@ -408,6 +410,44 @@ def test_repeats(docs, rows, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def shard_of(texts, window=20):
+    return substrings.Shard(list(range(len(texts))), pa.array(texts, pa.string()), window)
+
+
+def test_op5_calls_dont_grow_with_the_words():
+    def calls(n):
+        made, profile = [" ".join(f"w{k % 50}" for k in range(n))] * 2, cProfile.Profile()
+        profile.enable()
+        shard_of(made)
+        profile.disable()
+        return pstats.Stats(profile).total_calls
+
+    calls(100)
+    assert calls(20_000) < calls(200) + 100  # 40,000 more when each word was looked up by Python
+
+
+def test_op5_words_and_white_space():
+    rng = random.Random(3)
+    some = [*" \t\n\x0b\x0c\r", "a", "é", "\x85", "\xa0", "\u3000", "\x1c", "\x1f", "\x00", "b"]
+    made = [None, "", " ", "  a", "a  ", *("".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(500))]
+    want = [[w.encode() for w in SPACE.findall(t or "")] for t in made]
+    for column in (pa.array(made), pa.array(["x y", *made])[1:]):
+        words, n = substrings.words_of(column)
+        assert common.as_bytes(words) == [w for ws in want for w in ws] and n.tolist() == list(map(len, want))
+
+
+def test_op5_windows_that_share_half_a_hash_stay_apart(monkeypatch):
+    mix, turns = substrings.mix64, iter(range(2))
+    monkeypatch.setattr(substrings, "mix64", lambda x: mix(x) % np.uint64(7) if next(turns) == 0 else mix(x))
+    s = shard_of(texts(40), 3)
+    seen, want = set(), []
+    for k, pair in enumerate(zip(s.hash[0].tolist(), s.hash[1].tolist(), strict=True)):
+        if pair not in seen:
+            seen.add(pair)
+            want.append(k)
+    assert s.first.tolist() == want and len(want) < len(s.at) and len(set(s.hash[0].tolist())) <= 7
+
+
 # ---- 6
 
 

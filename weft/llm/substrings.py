@@ -23,11 +23,11 @@ first). A null doc_id comes before all others.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,23 +48,29 @@ LATE = "shard int, late binary"
 CLEANED = "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string"
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one text after the other, and how many each has."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words, ends = split.flatten(), split.offsets.to_numpy()
+    filled = pc.greater(pc.binary_length(words), 0)  # white space at an edge leaves an empty word
+    before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    return words.filter(filled), np.diff(before[ends - ends[0]])
+
+
 class Shard:
     """Words of some documents, in order of doc_id and text, and the hashes of their windows."""
 
-    def __init__(self, ids: list, texts: list[bytes | None], window: int):
-        order = sorted(range(len(ids)), key=lambda k: (NONE if ids[k] is None else ids[k], texts[k] or b""))
+    def __init__(self, ids: list, texts: pa.Array, window: int):
+        whole = as_bytes(texts)
+        order = sorted(range(len(ids)), key=lambda k: (NONE if ids[k] is None else ids[k], whole[k] or b""))
         self.ids = [ids[k] for k in order]
-        self.words = [(texts[k] or b"").split() for k in order]
-        lengths = np.fromiter(map(len, self.words), np.int64, len(order))
+        self.texts = [whole[k] or b"" for k in order]
+        words, lengths = words_of(texts.take(pa.array(order, pa.int64())))
+        number = words.dictionary_encode()
         self.window, self.lengths = window, lengths
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        seen = np.fromiter((number[w] for words in self.words for w in words), np.int64, int(lengths.sum()))
-        names = list(number)
-        self.hash = []
-        for seed, base in enumerate(BASES):
-            own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), np.uint64, len(names))
-            self.hash.append(mix64(windows(own[seen], window, base)))
+        seen = number.indices.to_numpy()
+        names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, as_bytes(number.dictionary))), "<u8").reshape(-1, 2)
+        self.hash = [mix64(windows(names[:, k][seen], window, base)) for k, base in enumerate(BASES)]
         starts = np.cumsum(lengths) - lengths
         self.starts = starts
         # Windows that lie in one document: where they start in the shard, and in which document.
@@ -74,18 +80,22 @@ class Shard:
         self.hash = [h[self.at] for h in self.hash]
         # The first of each kind of window in the shard; windows are in order, so the smallest index is the earliest.
         if len(self.at):
-            by = np.lexsort((self.hash[1], self.hash[0])) if self.clash() else np.argsort(self.hash[0], kind="stable")
-            a, b = self.hash[0][by], self.hash[1][by]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            self.first = np.sort(np.minimum.reduceat(by, np.flatnonzero(new)))
+            by = np.argsort(self.hash[0])
+            new, clash = self.changes(by)
+            if clash:  # windows that share the first half of the hash must stand by the second
+                by = np.lexsort((self.hash[1], self.hash[0]))
+                new, _ = self.changes(by)
+            first = np.zeros(len(by), bool)
+            first[np.minimum.reduceat(by, np.flatnonzero(new))] = True
+            self.first = np.flatnonzero(first)
         else:
             self.first = np.empty(0, np.int64)
 
-    def clash(self) -> bool:
-        """Whether two windows share the first half of the hash but not the second."""
-        by = np.argsort(self.hash[0], kind="stable")
+    def changes(self, by: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Where another window begins in this order, and whether two share the first half of the hash but not the second."""
         a, b = self.hash[0][by], self.hash[1][by]
-        return bool(((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any())
+        first, second = a[1:] != a[:-1], b[1:] != b[:-1]
+        return np.concatenate([[True], first | second]), bool((second & ~first).any())
 
     def cells(self, slices: int) -> list[np.ndarray]:
         """Counters of the first windows in each row of the sketch."""
@@ -105,7 +115,7 @@ class Shard:
 
 
 def of_table(found: pa.Table, window: int) -> Shard:
-    return Shard(found["doc_id"].to_pylist(), as_bytes(found["text"]), window)
+    return Shard(found["doc_id"].to_pylist(), found["text"].combine_chunks(), window)
 
 
 def rows(data: dict, schema: str) -> pa.Table:
@@ -205,8 +215,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, texts: bool = Tru
         s = of_table(found, window)
         lists = [np.cumsum(unpack(x)).astype(np.int64) for x in late["late"].to_pylist()]
         gone = s.covered(np.concatenate(lists) if lists else np.empty(0, np.int64))
-        for i, words, at, n in zip(s.ids, s.words, s.starts.tolist(), s.lengths.tolist(), strict=True):
-            own = gone[at : at + n]
+        for i, text, at, n in zip(s.ids, s.texts, s.starts.tolist(), s.lengths.tolist(), strict=True):
+            words, own = text.split(), gone[at : at + n]
             removed = int(own.sum())
             kept = b" ".join(words if not removed else [w for w, g in zip(words, own.tolist(), strict=True) if not g])
             for name, value in zip(out, (i, n, removed, kept.decode() if texts else None, hashlib.sha256(kept).hexdigest()), strict=True):
