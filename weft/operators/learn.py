@@ -30,12 +30,12 @@ def balanced(rows: DataFrame, flag: str, keys: list[str]) -> DataFrame:
     return rows.where(F.col(flag) == 1).unionByName(negative.where(F.col("__order") < edge).unionByName(rest).drop("__order"))
 
 
-def folds(rows: DataFrame, k: int, order: list[str]) -> DataFrame:
+def folds(rows: DataFrame, k: int, order: list[str], parts: int | None = None) -> DataFrame:
     """rows with fold: k contiguous parts of the given order, the first ones one longer where they don't divide.
 
     Places come from per-range counts: rows are range-sorted, numbered inside their range, and offset by what is before.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ranged = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id()).checkpoint()
     counts = sorted((r[0], r[1]) for r in ranged.groupBy("__part").count().collect())  # one row per partition
     total, at, starts = sum(n for _, n in counts), 0, []
     for p, n in counts:

@@ -717,7 +717,7 @@ def balanced_sample(spark, sf):
 @query("kfold", answer("SELECT sent_id, node_id, CAST(ntile(4) OVER (ORDER BY sent_id, node_id) - 1 AS INTEGER) AS fold FROM nodes"))
 def kfold(spark, sf):
     checkpointed(spark)
-    return learn.folds(s.nodes(spark, sf).select("sent_id", "node_id"), 4, ["sent_id", "node_id"])
+    return learn.folds(s.nodes(spark, sf).select("sent_id", "node_id"), 4, ["sent_id", "node_id"], s.dealt(spark, sf))
 
 
 @query("every_second", answer("SELECT sent_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY node_id) AS place FROM nodes) WHERE (place - 1) % 2 = 0"))
