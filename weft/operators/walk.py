@@ -7,6 +7,7 @@ Single rounds are relational. The loop, in which each round depends on the one b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,12 @@ def stochastic(m: np.ndarray) -> np.ndarray:
     return np.divide(m, total, out=np.zeros_like(m), where=total > 0)
 
 
+def stochastic_rows(m: np.ndarray) -> np.ndarray:
+    """m with its last axis made to sum to one; zeros stay."""
+    total = m.sum(axis=-1, keepdims=True)
+    return np.divide(m, total, out=np.zeros_like(m), where=total > 0)
+
+
 def walk(prior: np.ndarray, matrix: np.ndarray, query: list[int], gone: list[int] = (), first: list[int] = (), restart: float = RESTART, rounds: int = ROUNDS, most: bool = False) -> np.ndarray:
     """Stationary scores of a walk that restarts at the query nodes.
 
@@ -176,6 +183,36 @@ def greedy(matrices: list[np.ndarray], against: np.ndarray, chunk: np.ndarray, f
         live = live[(query[live] | gone[live]).sum(axis=1) < n]
 
 
+@dataclass
+class Step:
+    """A step of some sentences of a block: their nodes (sentences, n), scores (models, sentences, n) and the rest (sentences, n)."""
+
+    step: int
+    nodes: np.ndarray
+    source: np.ndarray
+    scores: np.ndarray | None = None
+    blend: np.ndarray | None = None
+    rank: np.ndarray | None = None
+
+
+def steps(block, nodes: np.ndarray, matrices: list[np.ndarray], shares: list[float], by: str = "walk", compat_mode: bool = False) -> Iterator[Step]:
+    """The greedy loop of sentences of one size in a block; step 0 has the initial query nodes as source 1."""
+    first = block.query[nodes]
+    yield Step(0, nodes, first.astype(int))
+    for live, at, scores, blend, rank, source in greedy(matrices, block.squares(nodes), block.chunk[nodes], first, shares, by, compat_mode):
+        yield Step(at, nodes[live], source, scores, blend, rank)
+
+
+CHOSEN = "sent_id bigint, step int, node_id int, lemma string, source string"
+
+
+def chosen_rows(block, part: Step, own: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Some nodes of a step, as in CHOSEN."""
+    nodes = part.nodes[own]
+    source = np.full(len(nodes), "initial_query", object) if part.step == 0 else SOURCES[part.source[own]].astype(object)
+    return pa.RecordBatch.from_arrays([pa.array(block.sent[nodes], pa.int64()), pa.array(np.full(len(nodes), part.step, np.int32)), pa.array((nodes - block.start[nodes]).astype(np.int32)), pa.array(names[block.lemma[nodes]], pa.string()), pa.array(source, pa.string())], CHOSEN.replace(" bigint", "").replace(" int", "").replace(" string", "").split(", "))
+
+
 TRACE = "sent_id bigint, step int, node_id int, lemma string, source string, scores array<double>, score double, rank int"
 
 

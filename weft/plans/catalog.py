@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import morph, text
-from weft.operators import audits, lattice, learn, metrics, paths, quality, stats, walk
+from weft.operators import audits, block_paths, block_walks, lattice, learn, metrics, paths, quality, stats, walk
 from weft.plans import surrogate as s
 from weft.plans.session import checkpointed
 from weft.sources import readers
@@ -68,6 +68,8 @@ raw AS (SELECT sent_id, src, dst, p / total AS p FROM raw1 WHERE total > 0 UNION
   WHERE NOT EXISTS (SELECT 1 FROM raw1 r WHERE r.total > 0 AND r.sent_id = n.sent_id AND r.src = n.node_id)),
 """
 STEPS = 5
+#: The probability of classes that were never counted.
+UNSEEN = 1 / 440000
 
 
 def rwr_sql(edges: str = "edges", name: str = "x") -> str:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import lattice, learn, paths, stats, walk
+from weft.operators import block_paths, lattice, learn, paths, stats, walk
 from weft.plans import surrogate as s
-from weft.plans.catalog import CODES, FEATURE, answer, base, cut, kn_sql, query, rounded
+from weft.plans.catalog import CODES, FEATURE, UNSEEN, answer, base, cut, kn_sql, query, rounded
 
 #: Classes of the surrogate candidates by feature code.
 CLASSES = {"500": "ger", "600": "absol", "700": "ppp", "800": "inf", "900": "ppa"}
-UNSEEN = 1 / 440000
 #: The columns that the ranking uses, and their weights.
 LIVE = "111 112 113 122 123 131 132 211 212 213 222 223 231 232 311 312 322 400 500 600 700 800 011 022 033".split()
 VALUES = [
@@ -20,6 +19,8 @@ VALUES = [
     0.24279471, 0.30121553, 1.29004227, 0.27179539, 30.28146594, -0.21266843, 9.93318708,
 ]
 WEIGHTS = {f"f{c}": w for c, w in zip(LIVE, VALUES, strict=True)}
+#: What typed() makes of a class and of a set's number being odd.
+KINDS = {("AF", False): "ger", ("AF", True): "ger", ("NF", True): "ppa", ("NF", False): "absol", ("NO", True): "inf", ("NO", False): "ppp"}
 COLUMNS = [f"f{c}" for c in [*CODES, "400", *CLASSES, "011", "022", "033"]]
 
 
@@ -59,8 +60,20 @@ def table_sql() -> str:
 WHOLE = table_sql()
 
 
+def fitted(spark: SparkSession, sf: str) -> tuple:
+    """The sentences in blocks and the model's tables; None, None where blocks can't hold them."""
+    found = s.sentences(spark, sf)
+    return (found, block_paths.fit(found, s.VERB, KINDS, CLASSES, UNSEEN)) if found else (None, None)
+
+
+def table(spark: SparkSession, sf: str) -> DataFrame:
+    """sent_id, li, ri, all columns and flag of all compatible pairs."""
+    found, model = fitted(spark, sf)
+    return block_paths.feature_rows(found, model, CODES, COLUMNS) if found else feature_table(spark, sf)[3]
+
+
 def feature_table(spark: SparkSession, sf: str) -> tuple:
-    """nodes, conflict, query nodes, and the feature table of all compatible pairs: all columns and flag."""
+    """nodes, conflict, query nodes, and the feature table of all compatible pairs, by joins."""
     nodes, conflict, q = base(spark, sf)
     nodes = typed(nodes)
     (compatible,) = cut(spark, lattice.compatible(nodes, conflict))
@@ -84,7 +97,7 @@ def feature_table(spark: SparkSession, sf: str) -> tuple:
 
 @query("path_feature_table", answer(f"SELECT sent_id, li, ri, {', '.join(f'round({c}, 8) AS {c}' for c in COLUMNS)}, flag FROM whole"), WHOLE)
 def path_feature_table(spark, sf):
-    return rounded(feature_table(spark, sf)[3], *COLUMNS, digits=8)
+    return rounded(table(spark, sf), *COLUMNS, digits=8)
 
 
 TOTAL = " + ".join(f"{w}::DOUBLE * {c}" for c, w in WEIGHTS.items())
