@@ -111,7 +111,7 @@ def pcrw_rank(spark, sf):
 
 @query("constant_columns", answer(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(min({c}), 8) AS low, round(max({c}), 8) AS high, NOT (min({c}) = 0 AND max({c}) = 0) AS live FROM whole" for c in COLUMNS)), WHOLE)
 def constant_columns(spark, sf):
-    return rounded(paths.live_columns(feature_table(spark, sf)[3], COLUMNS), "low", "high", digits=8)
+    return rounded(paths.live_columns(table(spark, sf), COLUMNS), "low", "high", digits=8)
 
 
 @query("logreg_weights")
