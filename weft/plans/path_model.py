@@ -130,3 +130,6 @@ def greedy_path(spark, sf):
     nodes, conflict, q, feature = feature_table(spark, sf)
     total = sum((F.lit(float(w)) * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
     return walk.predict(nodes, conflict, q, [feature.select("sent_id", F.col("li").alias("src"), F.col("ri").alias("dst"), total.alias("p"))], [1.0], by="path")
+    found, model = fitted(spark, sf)
+    if found:
+        return block_paths.greedy(found, model, CODES, WEIGHTS)
