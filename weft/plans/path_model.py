@@ -105,6 +105,9 @@ TOTAL = " + ".join(f"{w}::DOUBLE * {c}" for c, w in WEIGHTS.items())
 
 @query("pcrw_rank", answer(f"SELECT n.sent_id, n.node_id, round(coalesce(sum({TOTAL}), 0), 6) AS score FROM nodes n LEFT JOIN (SELECT w.* FROM whole w JOIN query q ON q.sent_id = w.sent_id AND q.node_id = w.li) f ON f.sent_id = n.sent_id AND f.ri = n.node_id WHERE NOT EXISTS (SELECT 1 FROM query q WHERE q.sent_id = n.sent_id AND q.node_id = n.node_id) GROUP BY n.sent_id, n.node_id"), WHOLE)
 def pcrw_rank(spark, sf):
+    found, model = fitted(spark, sf)
+    if found:
+        return rounded(block_paths.ranking(found, model, CODES, WEIGHTS), "score", digits=6)
     nodes, _, q, feature = feature_table(spark, sf)
     return rounded(paths.path_ranking(nodes, q, feature, WEIGHTS), "score", digits=6)
 
