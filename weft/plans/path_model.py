@@ -119,6 +119,9 @@ def constant_columns(spark, sf):
 
 @query("logreg_weights")
 def logreg_weights(spark, sf):
+    found, model = fitted(spark, sf)
+    if found:
+        return block_paths.logistic_weights(found, model, CODES, COLUMNS)
     rows = feature_table(spark, sf)[3]
     return learn.logistic_weights(learn.folds(rows, 4, ["sent_id", "li", "ri"]), COLUMNS, "flag")
 
