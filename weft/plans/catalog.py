@@ -353,19 +353,36 @@ d1 AS (SELECT sent_id, src, dst, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SE
 d2 AS (SELECT sent_id, src, dst, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT a.sent_id, a.src, b.dst, a.d + b.d FROM d1 a JOIN d1 b ON a.sent_id = b.sent_id AND a.dst = b.src AND a.src <> b.dst) GROUP BY ALL),
 """)
 def shortest_paths(spark, sf):
-    return walk.closure(*cut(spark, edges_of(spark, sf)[2]), 2).select("sent_id", "src", "dst", F.round(F.log("d"), 6).alias("log_d"))
+    found = s.sentences(spark, sf)
+    d = block_walks.closure(found, block_walks.fit(found, ["lemma"], UNSEEN), 2) if found else walk.closure(*cut(spark, edges_of(spark, sf)[2]), 2)
+    return d.select("sent_id", "src", "dst", F.round(F.log("d"), 6).alias("log_d"))
+
+
+#: The models of the greedy loop and their weights.
+LOOP, SHARES = ["lemma", "cng", "same"], [1 / 3] * 3
+
+
+def looped(spark, sf, made, *more):
+    """made(sentences, models, shares, *more) of block_walks; None where blocks can't hold the sentences."""
+    found = s.sentences(spark, sf)
+    return made(found, block_walks.fit(found, LOOP, UNSEEN), SHARES, *more) if found else None
 
 
 @query("greedy_trace")
 def greedy_trace(spark, sf):
     nodes, conflict, q = base(spark, sf)
     counts, same, cng = stats.cooccurrences(nodes, "lemma"), stats.cooccurrences(nodes, "lemma", same="cng"), stats.cooccurrences(nodes, "cng")
+    return looped(spark, sf, block_walks.trace) or joined_trace(spark, sf)
+
+
+def joined_trace(spark, sf):
+    """The trace by joins."""
     edges = [stats.edges_smoothed(nodes, "lemma", counts, conflict), stats.edges_smoothed(nodes, "cng", cng, conflict, unseen=1 / 440000), stats.edges_smoothed(nodes, "lemma", same, conflict, halve=True)]
-    return walk.trace(nodes, conflict, q, edges, [1 / 3] * 3)
+    return walk.trace(nodes, conflict, q, edges, SHARES)
 
 
 def greedy_predict(spark, sf):
-    return walk.chosen(greedy_trace(spark, sf))
+    return looped(spark, sf, block_walks.predict) or walk.chosen(joined_trace(spark, sf))
 
 
 query("greedy_predict")(greedy_predict)
@@ -768,4 +785,4 @@ def learned_shares(spark, sf):
 
 @query("selection_export")
 def selection_export(spark, sf):
-    return audits.exported(greedy_predict(spark, sf), s.nodes(spark, sf))
+    return looped(spark, sf, block_walks.exported) or audits.exported(walk.chosen(joined_trace(spark, sf)), s.nodes(spark, sf))
