@@ -342,6 +342,8 @@ def expand_query(spark, sf):
 
 @query("blend_rank", answer("SELECT sent_id, node_id, round(0.5::DOUBLE * a / ta + 0.5::DOUBLE * b / tb, 8) AS score FROM (SELECT x.sent_id, x.node_id, x.score AS a, y.score AS b, sum(x.score) OVER (PARTITION BY x.sent_id) AS ta, sum(y.score) OVER (PARTITION BY x.sent_id) AS tb FROM xs x JOIN ys y ON x.sent_id = y.sent_id AND x.node_id = y.node_id)"), WALK + EDGES_CNG + rwr_sql("edges_cng", "y"))
 def blend_rank(spark, sf):
+    if found := s.sentences(spark, sf):
+        return rounded(block_walks.blended(found, block_walks.fit(found, ["lemma", "cng"], UNSEEN), [0.5, 0.5], STEPS), "score", digits=8)
     nodes, conflict, q = base(spark, sf)
     one = stats.edges_smoothed(nodes, "lemma", stats.cooccurrences(nodes, "lemma"), conflict)
     two = stats.edges_smoothed(nodes, "cng", stats.cooccurrences(nodes, "cng"), conflict, unseen=1 / 440000)
