@@ -700,6 +700,9 @@ def path_steps(spark, sf):
 
 @query("path_features", answer("SELECT sent_id, li, ri, " + ", ".join(f"round(f{c}, 8) AS f{c}" for c in CODES) + " FROM feature"), FEATURE)
 def path_features(spark, sf):
+    if found := s.sentences(spark, sf):
+        model = block_paths.fit(found, s.VERB, {}, {}, UNSEEN)
+        return rounded(block_paths.feature_rows(found, model, CODES, [f"f{c}" for c in CODES], flag=False), *(f"f{c}" for c in CODES), digits=8)
     nodes, conflict, q = base(spark, sf)
     return rounded(paths.features(nodes, lattice.compatible(nodes, conflict), CODES), *(f"f{c}" for c in CODES), digits=8)
 
