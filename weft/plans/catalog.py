@@ -780,7 +780,8 @@ def fill_missing(spark, sf):
 
 @query("training_rows")
 def training_rows(spark, sf):
-    return audits.training_steps(greedy_trace(spark, sf), s.gold(spark, sf), ["w2w", "t2t", "scng"])
+    names = ["w2w", "t2t", "scng"]
+    return looped(spark, sf, block_walks.training_steps, names) or audits.training_steps(joined_trace(spark, sf), s.gold(spark, sf), names)
 
 
 @query("learned_shares")
