@@ -44,6 +44,19 @@ def test_loop_by_blocks_and_by_joins(spark, sf):
     assert values(catalog.looped(spark, sf, block_walks.step_moves)) == values(audits.step_moves(trace, gold, 3))
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_shares_are_learned_in_ranges(spark, odd):
+    rng = np.random.default_rng(5)
+    rows = [(k // 3, k % 3, rng.uniform(-0.3, 0.32, 3).tolist()) for k in range(3000)]
+    if odd:
+        rows[1500] = (500, 0, [-10.0, 0.0, 0.0])  # the weights sum to zero
+    moves = spark.createDataFrame(rows, "sent_id long, step int, moves array<double>").repartition(5)
+    one, many = (audits.learned_shares(moves, 3, 0.1, parts) for parts in (1, 6))
+    assert (many.rdd.getNumPartitions() > 3) != odd
+    one, many = ([(r.sent_id, r.step, *r.before, *r.shares) for r in df.orderBy("sent_id", "step").collect()] for df in (one, many))
+    assert len(one) == 3000 and np.allclose(one, many, rtol=1e-9, atol=1e-12)
+
+
 def test_odd_candidates_are_not_packed(spark):
     rows = [(1, 0, 6, "a", "RF", "xy", 1.0, 1), (1, 0, 12, "b", "NO", "z", 2.0, 2), (2, 0, 6, "c", "NO", "z", 2.0, 2)]
     schema = "sent_id long, chunk_id int, pos int, lemma string, cng string, surface string, price double, part long"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,18 +101,54 @@ def step_moves(steps: DataFrame, gold: DataFrame, models: int) -> DataFrame:
     return rows.groupBy("sent_id", "step").agg(F.array(*(F.coalesce(best(k, 1) - best(k, 0), F.lit(0.0)) for k in range(models))).alias("moves"))
 
 
-def learned_shares(moves: DataFrame, models: int, rate: float) -> DataFrame:
+def learned_shares(moves: DataFrame, models: int, rate: float, parts: int = 1) -> DataFrame:
     """sent_id, step, before, moves, shares: the weights of the rankings before and after each step of each sentence.
 
-    A step moves each weight by rate * its move, then all are made to sum to one. Every step needs the one before, so one
-    task goes through all steps in order of sentence and step; it holds one row.
+    A step moves each weight by rate * its move, then all are made to sum to one. But for the scale that is a linear map
+    (the sum of the weights before is one), and maps of runs of steps multiply. So steps are dealt to ranges in order of
+    sentence and step, each range's map is made where it is, the weights at its start follow from the maps before, and
+    each range goes through its steps from there. Where a step's weights would sum to zero, one range holds all.
     """
+    rows = moves.select("sent_id", "step", "moves")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, bad, n, at = np.eye(models), False, 0, -1
+        for batch in batches:
+            move = rate * batch.column("moves").flatten().to_numpy().reshape(-1, models)
+            bad |= bool((np.abs(1 + move.sum(axis=1)) < 1e-9).any())
+            maps = np.eye(models) + move[:, :, None]
+            while len(maps) > 1:  # products of neighbours, later ones on the left
+                even = np.matmul(maps[1::2], maps[: len(maps) // 2 * 2 : 2])
+                maps = np.concatenate([even, maps[len(maps) // 2 * 2 :]])
+                maps /= np.abs(maps).max(axis=(1, 2), keepdims=True)
+            n += batch.num_rows
+            at = batch.column("part")[0].as_py() if batch.num_rows else at
+            for m in maps:
+                whole = m @ whole
+                whole /= np.abs(whole).max()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bad]), pa.array([whole.ravel()], pa.list_(pa.float64()))], ["part", "bad", "map"])
+
+    if parts > 1:
+        rows = rows.repartitionByRange(parts, "sent_id", "step").sortWithinPartitions("sent_id", "step").withColumn("part", F.spark_partition_id()).checkpoint()
+        found = rows.mapInArrow(mapped, "part int, bad boolean, map array<double>").orderBy("part").collect()
+        if any(r.bad for r in found):
+            return learned_shares(rows, models, rate)
+    else:
+        rows, found = rows.repartition(1).sortWithinPartitions("sent_id", "step").withColumn("part", F.lit(0)), []
+    start, starts = np.full(models, 1 / models), {}
+    for r in found:
+        starts[r.part] = start.tolist()
+        start = np.array(r.map).reshape(models, models) @ start
+        start = start / start.sum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = [1 / models] * models
+        share = None
         for batch in batches:
             before, after = [], []
-            for move in batch.column(2).to_pylist():
+            if share is None and batch.num_rows:
+                share = starts.get(batch.column("part")[0].as_py(), [1 / models] * models)
+            for move in batch.column("moves").to_pylist():
                 before.append(share)
                 share = [s + rate * m for s, m in zip(share, move, strict=True)]
                 total = sum(share)
@@ -120,7 +157,6 @@ def learned_shares(moves: DataFrame, models: int, rate: float) -> DataFrame:
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, kind), batch.column(2), pa.array(after, kind)], ["sent_id", "step", "before", "moves", "shares"])
 
-    rows = moves.select("sent_id", "step", "moves").repartition(1).sortWithinPartitions("sent_id", "step")
     return rows.mapInArrow(run, "sent_id bigint, step int, before array<double>, moves array<double>, shares array<double>")
 
 

@@ -786,7 +786,8 @@ def training_rows(spark, sf):
 
 @query("learned_shares")
 def learned_shares(spark, sf):
-    return audits.learned_shares(audits.step_moves(greedy_trace(spark, sf), s.gold(spark, sf), 3), 3, 0.1)
+    moves = looped(spark, sf, block_walks.step_moves) or audits.step_moves(joined_trace(spark, sf), s.gold(spark, sf), 3)
+    return audits.learned_shares(moves, 3, 0.1, s.dealt(spark, sf))
 
 
 @query("selection_export")
