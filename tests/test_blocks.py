@@ -27,7 +27,7 @@ def test_tables_of_pairs_are_not_kept(name, spark, sf):
     assert kept(spark) - before < 60 * 6_000  # bytes of a node of the candidate table
 
 
-@pytest.mark.parametrize("name", ["greedy_path", "pcrw_rank", "path_feature_table"])
+@pytest.mark.parametrize("name", ["greedy_path", "pcrw_rank", "path_feature_table", "path_steps"])
 def test_paths_by_blocks_and_by_joins(name, spark, sf, monkeypatch):
     by_blocks = values(catalog.QUERIES[name](spark, sf))
     monkeypatch.setattr(blocks, "TABLE", 0)

@@ -19,6 +19,31 @@ def keys(block: Block, cngs: int) -> dict[str, np.ndarray]:
     return {"1": block.lemma, "2": block.cng, "3": block.lemma * cngs + block.cng}
 
 
+def transitions(sentences: Sentences) -> DataFrame | None:
+    """paths.transitions() of paths.evidence(); None where pairs of keys of both kinds are too many for a dense table."""
+    lemmas, cngs = len(sentences.lemmas), len(sentences.cngs)
+    size = {"1": lemmas, "2": cngs, "3": lemmas * cngs}
+    if size["3"] ** 2 > blocks.TABLE:
+        return None
+
+    def tables(block: Block) -> dict[str, np.ndarray]:
+        key = keys(block, cngs)
+        i, j, _, _ = block.pairs()
+        first = {k: block.once(v) for k, v in key.items()}
+        out = {}
+        for a in key:
+            for b in key:
+                own = first[a][i] & first[b][j]
+                out[a + b] = key[a][i[own]] * size[b] + key[b][j[own]]
+        return out
+
+    found = blocks.counted(sentences, tables)
+    names = {"1": sentences.lemmas, "2": sentences.cngs, "3": [f"{a}_{b}" for a in sentences.lemmas for b in sentences.cngs]}
+    whole = {k: {code // n: count for code, count in found.get(k + k, {}).items() if code // n == code % n} for k, n in size.items()}
+    rows = [(s[0], names[s[0]][code // size[s[1]]], s[1], names[s[1]][code % size[s[1]]], n / whole[s[0]][code // size[s[1]]]) for s, codes in found.items() for code, n in codes.items()]
+    return sentences.rows.sparkSession.createDataFrame(rows, "k1 string, x string, k2 string, y string, p double")
+
+
 @dataclass
 class Model:
     """Dense tables: hop[kinds][x, y] shares of sentences; the rest by lemmas or classes."""

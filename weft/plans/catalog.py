@@ -695,7 +695,9 @@ def evidence_counts(spark, sf):
 
 @query("path_steps", answer("SELECT k1, x, k2, y, round(p + 3e-16, 9) AS p FROM hop"), HOPS)
 def path_steps(spark, sf):
-    return rounded(paths.transitions(paths.evidence(s.nodes(spark, sf))), "p")
+    found = s.sentences(spark, sf)
+    p = block_paths.transitions(found) if found else None
+    return rounded(paths.transitions(paths.evidence(s.nodes(spark, sf))) if p is None else p, "p")
 
 
 @query("path_features", answer("SELECT sent_id, li, ri, " + ", ".join(f"round(f{c}, 8) AS f{c}" for c in CODES) + " FROM feature"), FEATURE)
